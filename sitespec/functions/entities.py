@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html.entities
-import json
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,15 +12,19 @@ from sitespec.functions.strings import let
 MAX_LEN = 2147483647
 REPLACEMENT = "\ufffd"
 
-# The HTML 5 name table of the Python library, split by its own rule: names
-# that end in ";" must match whole, the others also match as a prefix.
-_NAMED = {k: v for k, v in html.entities.html5.items() if k.endswith(";")}
-_PREFIX = {k: v for k, v in html.entities.html5.items() if not k.endswith(";")}
-_PREFIX_PATTERN = "^(" + "|".join(sorted(_PREFIX, key=len, reverse=True)) + ")"
-
-# The names tried before the whole table.
-COMMON = ("amp", "lt", "gt", "quot", "nbsp", "copy", "middot")
+# The commonest names, put first in the table.
+COMMON = ("amp;", "quot;", "lt;", "gt;", "nbsp;", "copy;", "middot;")
 
+# The HTML 5 name table of the Python library, split by its own rule: names that
+# end in ";" must match whole, the others also match as a prefix. Each is one
+# text "<sep>name=value<sep>name=value<sep>": a string literal keeps plans small,
+# where a map literal is hashed and compared by every optimizer rule.
+_SEP = "\x1f"
+_WHOLE = sorted((k for k in html.entities.html5 if k.endswith(";")), key=lambda k: k not in COMMON)
+_PREFIX = sorted((k for k in html.entities.html5 if not k.endswith(";")), key=len, reverse=True)
+_WHOLE_TEXT = _SEP + "".join(f"{k}={html.entities.html5[k]}{_SEP}" for k in _WHOLE)
+_PREFIX_TEXT = _SEP + "".join(f"{k}={html.entities.html5[k]}{_SEP}" for k in _PREFIX)
+_PREFIX_PATTERN = "^(" + "|".join(_PREFIX) + ")"
 
 def _windows_1252() -> str:
     """What the codes 0x80 to 0x9F stand for, in order."""
@@ -39,11 +42,11 @@ def code_point(n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
-def _numeric(digits: Column, base: int) -> Column:
-    short = F.regexp_replace(digits, "^0+(?=.)", "")
-    n = F.when(F.length(short) > 7, F.lit(0x110000).cast("bigint")).otherwise(
-        F.conv(short, base, 10).cast("bigint")
-    )
+def _numeric(ref: Column) -> Column:
+    """The character of ``#65;`` or ``#x41;``."""
+    digits = F.regexp_extract(ref, "^#[xX]?0*([0-9a-fA-F]*)", 1)
+    value = F.when(ref.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+    n = F.when(F.length(digits) > 7, 0x110000).when(digits == "", 0).otherwise(value.cast("int"))
     return let(n, _character)
 
 
@@ -63,27 +66,32 @@ def _after(c: Column, prefix: Column) -> Column:
     return F.substring(c, F.length(prefix) + 1, F.lit(MAX_LEN))
 
 
+def _look_up(table: str, name: Column) -> Column:
+    """Value of a name in a table text, NULL if absent."""
+    key = F.concat(F.lit(_SEP), name, F.lit("="))
+
+    def value_at(pos: Column) -> Column:
+        start = F.substring(F.lit(table), pos + F.length(key), F.lit(8))
+        return F.when(pos > 0, F.substring_index(start, _SEP, 1))
+
+    return let(F.instr(F.lit(table), key), value_at)
+
+
+def _replace_name(p: Column, name: Column, table: str) -> Column:
+    """The piece with its leading name decoded, NULL if the table does not hold the name."""
+    return F.when(name != "", F.concat(_look_up(table, name), _after(p, name)))
+
+
 def _decode_piece(p: Column) -> Column:
     """Decode the text that follows one ``&``."""
-    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
-    prefixes = F.from_json(F.lit(json.dumps(_PREFIX)), "map<string,string>")
-    decimal = F.regexp_extract(p, r"^#[0-9]+;?", 0)
-    hexa = F.regexp_extract(p, r"^#[xX][0-9a-fA-F]+;?", 0)
+    number = F.regexp_extract(p, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
     name = F.regexp_extract(p, r"^[A-Za-z0-9]{1,31};", 0)
     prefix = F.regexp_extract(p, _PREFIX_PATTERN, 1)
-
-    out = F.when(F.startswith(p, F.lit("amp;")), F.concat(F.lit("&"), F.substring(p, 5, MAX_LEN)))
-    for common in COMMON[1:]:
-        ref = common + ";"
-        out = out.when(
-            F.startswith(p, F.lit(ref)), F.concat(F.lit(_NAMED[ref]), F.substring(p, len(ref) + 1, MAX_LEN))
-        )
-    return (
-        out.when(hexa != "", F.concat(_numeric(F.regexp_extract(hexa, "[0-9a-fA-F]+", 0), 16), _after(p, hexa)))
-        .when(decimal != "", F.concat(_numeric(F.regexp_extract(decimal, "[0-9]+", 0), 10), _after(p, decimal)))
-        .when((name != "") & F.map_contains_key(named, name), F.concat(F.try_element_at(named, name), _after(p, name)))
-        .when(prefix != "", F.concat(F.try_element_at(prefixes, prefix), _after(p, prefix)))
-        .otherwise(F.concat(F.lit("&"), p))
+    return F.coalesce(
+        let(name, lambda n: _replace_name(p, n, _WHOLE_TEXT)),
+        let(prefix, lambda n: _replace_name(p, n, _PREFIX_TEXT)),
+        let(number, lambda n: F.when(n != "", F.concat(_numeric(n), _after(p, n)))),
+        F.concat(F.lit("&"), p),
     )
 
 

@@ -60,30 +60,41 @@ def html_tokens(text: Column) -> Column:
     return F.filter(find_all(text, TOKEN, 0), lambda t: t.rlike(USED_TOKEN))
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Decoded value of an attribute; the last one wins, '' if absent or without value."""
+def raw_attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute as written; the last one wins, '' if absent or without value."""
     hits = F.filter(
         find_all(F.regexp_extract(tag, START_TAG, 0), ATTRIBUTE, 0),
         lambda a: a.rlike(rf"(?i)^{name}(?:[\s=]|$)"),
     )
     last = let(hits, lambda found: F.get(found, F.size(found) - 1))
     value = F.regexp_extract(F.coalesce(last, F.lit("")), r"(?s)^[^\s=]+\s*=+\s*(.*)$", 1)
-    return html_unescape(F.regexp_replace(value, r"(?s)^(['\"])(.*)\1$", "$2"))
+    return F.regexp_replace(value, r"(?s)^(['\"])(.*)\1$", "$2")
 
 
-def _links(tokens: Column, name: str, tags: str) -> Column:
+def _raw_links(tokens: Column, name: str, tags: str) -> Column:
     carrying = F.filter(tokens, lambda t: t.rlike(tags) & t.rlike(f"(?i){name}"))
-    return F.filter(F.transform(carrying, lambda t: attribute(t, name)), lambda v: v != "")
+    return F.transform(carrying, lambda t: raw_attribute(t, name))
+
+
+def _decoded(raw: Column) -> Column:
+    return F.transform(F.filter(raw, lambda v: v != ""), html_unescape)
 
 
 def href_links(tokens: Column) -> Column:
     """``href`` values of a, link, script, img and iframe tags."""
-    return _links(tokens, "href", HREF_TAGS)
+    return _decoded(_raw_links(tokens, "href", HREF_TAGS))
 
 
 def src_links(tokens: Column) -> Column:
     """``src`` values of script, img, iframe and source tags."""
-    return _links(tokens, "src", SRC_TAGS)
+    return _decoded(_raw_links(tokens, "src", SRC_TAGS))
+
+
+def tag_links(tokens: Column) -> Column:
+    """All ``href`` and ``src`` links of a tokenised page, decoded once."""
+    return _decoded(
+        F.array_distinct(F.concat(_raw_links(tokens, "href", HREF_TAGS), _raw_links(tokens, "src", SRC_TAGS)))
+    )
 
 
 def token_title(tokens: Column) -> Column:
