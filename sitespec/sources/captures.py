@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from sitespec.functions.html import norm_content_type
 from sitespec.functions.strings import decode_text
-from sitespec.functions.urls import url_netloc, url_path
+from sitespec.functions.urls import page_url, url_netloc, url_path
 from sitespec.schemas import RESPONSE_SCHEMA
 
 
 def as_pages(df: DataFrame) -> DataFrame:
     """Bring a table of snapshots to the ``pages`` columns.
 
-    Needs ``url`` and ``text`` (or ``html``, or binary ``content``); ``domain``
-    and ``path`` are taken from the URL, ``status_code`` defaults to 200 and
+    Needs ``text`` (or ``html``, or binary ``content``), and ``url`` or ``domain``
+    and ``path``; each side is made from the other. ``status_code`` defaults to 200 and
     ``content_type`` to ``text/html`` where the table has no such column.
     """
     have = set(df.columns)
@@ -25,12 +25,13 @@ def as_pages(df: DataFrame) -> DataFrame:
         text = F.col("html")
     else:
         text = decode_text(F.col("content"))
-    path = F.col("path") if "path" in have else F.coalesce(F.nullif(url_path(F.col("url")), F.lit("")), F.lit("/"))
+    url = F.col("url") if "url" in have else page_url(F.col("domain"), F.col("path"))
+    path = F.col("path") if "path" in have else F.coalesce(F.nullif(url_path(url), F.lit("")), F.lit("/"))
     return df.select(
-        (F.col("domain") if "domain" in have else url_netloc(F.col("url"))).alias("domain"),
+        (F.col("domain") if "domain" in have else url_netloc(url)).alias("domain"),
         path.alias("path"),
-        F.col("url"),
-        (F.col("page_id").cast("bigint") if "page_id" in have else F.xxhash64("url")).alias("page_id"),
+        url.alias("url"),
+        (F.col("page_id").cast("bigint") if "page_id" in have else F.xxhash64(url)).alias("page_id"),
         (F.col("status_code").cast("int") if "status_code" in have else F.lit(200)).alias("status_code"),
         (norm_content_type(F.col("content_type")) if "content_type" in have else F.lit("text/html")).alias(
             "content_type"

@@ -111,8 +111,10 @@ SELECT concat('r', d, '.example'), path, c * 10 + 5, 200, 'text/html', '<title>l
 WHERE c % 19 = 4
 UNION ALL
 SELECT concat('r', d, '.example'), concat('/o/', k), k * 10 + 6, CASE WHEN s = 'O' THEN 404 ELSE 200 END,
-       CASE WHEN s = 'F' THEN 'application/json' ELSE 'text/html' END,
-       CASE WHEN s = 'F' THEN concat('{{url: "/o/', k + CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END, '", id: 1}}')
+       CASE WHEN s = 'F' AND k % 4 = 1 THEN 'application/javascript' WHEN s = 'F' THEN 'application/json' ELSE 'text/html' END,
+       CASE WHEN s = 'F' AND k % 4 = 1 THEN concat('function f', k, '() {{', chr(10), '  const r = fetch("../api/o',
+                 k % 50, '.php", {{ body: "a=1&b', k % 3, '=2" }});', chr(10), '  use(data.user', k % 3, ');', chr(10), '}}')
+            WHEN s = 'F' THEN concat('{{url: "/o/', k + CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END, '", id: 1}}')
             ELSE concat('<title>', p, '</title><a href="../c/', j, CASE WHEN j % 7 = 0 THEN '/' ELSE '' END,
                         '">up</a>') END
 FROM opage
