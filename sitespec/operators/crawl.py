@@ -21,11 +21,15 @@ class Crawl:
 
 
 def _nodes(linked: DataFrame) -> DataFrame:
-    """Pages by key, hash-partitioned once for all levels; only good pages keep their links."""
+    """Pages by key; only good pages keep their links.
+
+    Hash-partitioned and sorted once: the cache keeps both properties, so no level
+    shuffles or sorts the pages again.
+    """
     partitions = int(linked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return linked.select(
         "domain", "path", "status_code", F.when(F.col("status_code") == 200, F.col("links")).alias("links")
-    ).repartition(partitions, "domain", "path")
+    ).repartition(partitions, "domain", "path").sortWithinPartitions("domain", "path")
 
 
 def crawl(

@@ -39,10 +39,10 @@ def page_kinds(pages: DataFrame) -> DataFrame:
     )
 
 
-def titles(pages: DataFrame) -> DataFrame:
+def titles(pages: DataFrame, *keep: str) -> DataFrame:
     """Title of every HTML page; NULL for other pages."""
     title = F.when(html.is_html(F.col("content_type"), F.col("path")), html.html_title(F.col("text")))
-    return pages.select("domain", "path", "url", "page_id", title.alias("title"))
+    return pages.select("domain", "path", "url", "page_id", *keep, title.alias("title"))
 
 
 def _references(raw: Column) -> Column:
@@ -67,13 +67,13 @@ def _bad_links(references: Column) -> Column:
     return F.transform(F.filter(references, lambda r: bad_netloc(r.netloc)), lambda r: r.netloc)
 
 
-def page_links(pages: DataFrame) -> DataFrame:
+def page_links(pages: DataFrame, *keep: str) -> DataFrame:
     """One row per page with the sorted distinct same-site paths it links to.
 
     HTML links and script navigation strings are looked for in pages of any type.
     ``bad_links`` holds the hosts of links that are not valid URLs.
     """
-    keys = ("domain", "path", "page_id")
+    keys = ("domain", "path", "page_id", *keep)
     refs = _with_references(
         pages.select(*keys, "text", html.html_tokens(F.col("text")).alias("tokens")), F.col("tokens"), *keys
     )

@@ -71,6 +71,7 @@ def tree_lines(domains: DataFrame, table: DataFrame) -> DataFrame:
 
     A tree is the lines of its domain in order of section and line number; it is
     never put together in one row, since one site may hold most of the routes.
+    ``table`` is read twice, so pass a written one.
     """
     listed = frontend_routes(table).select(
         "domain", F.lit(1).alias("part"), "path", "section", "crawl_rank", "line_no", "title"
@@ -103,7 +104,7 @@ def tree_lines(domains: DataFrame, table: DataFrame) -> DataFrame:
     )
     empty = (
         domains.select("domain").distinct()
-        .join(apis.select("domain").distinct(), "domain", "left_anti")
+        .join(items.filter(F.col("part") == 4).select("domain").distinct(), "domain", "left_anti")
         .select("domain", F.lit(4).alias("section"), F.lit("└── [No API Endpoints Captured]").alias("line"))
     )
     heads = fixed.unionByName(empty).select("domain", "section", F.lit(1).cast("bigint").alias("line_no"), "line")
@@ -115,8 +116,10 @@ def asset_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("domain").agg(F.count_if(asset).alias("assets_saved"))
 
 
-def summary(pages: DataFrame, found: DataFrame, warnings: DataFrame) -> DataFrame:
-    """Counts of the result, one row per domain.
+def summary(
+    pages: DataFrame, found: DataFrame, warnings: DataFrame, domains: DataFrame | None = None
+) -> DataFrame:
+    """Counts of the result, one row per domain; ``domains`` adds those without any page.
 
     Each frame gives its own counts; their union is summed by one shuffle that
     carries one row per domain and task.
@@ -137,4 +140,6 @@ def summary(pages: DataFrame, found: DataFrame, warnings: DataFrame) -> DataFram
         ones(found, endpoints=one, routes=one, endpoints_verified=F.col("live_verified")),
         ones(warnings, warnings=one),
     ]
+    if domains is not None:
+        parts.append(ones(domains))
     return reduce(DataFrame.unionByName, parts).groupBy("domain").agg(*[F.sum(n).alias(n) for n in names])

@@ -24,18 +24,18 @@ from sitespec.schemas import materialize
 from sitespec.sinks import (
     api_spec_lines, clone_files, clone_manifest, explorer_lines, local_path, report_json_lines, report_markdown_lines,
 )
-from sitespec.sources import as_pages, ok_only, skipped
+from sitespec.sources import as_pages, load_pages, ok_only, skipped, spread
 from sitespec.sources import derived
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return load_pages(spark, f"{sf_dir}/pages.parquet")
 
 
 def _site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_pages(derived.site_pages(spark, sf_dir))
+    return as_pages(spread(derived.site_pages(spark, sf_dir)))
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,8 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return api.verify(_found(spark, sf_dir), derived.responses(spark, sf_dir))
+    """Verified endpoints, written once: most queries use them more than once."""
+    return materialize(api.verify(_found(spark, sf_dir), derived.responses(spark, sf_dir)), "verified")
 
 
 def _text(array: Column | str) -> Column:
@@ -138,7 +139,7 @@ def manifest(spark, sf_dir):
 
 def clone_sizes(spark, sf_dir):
     keys = ops.unique_pages(_site(spark, sf_dir).select("domain", "path", "page_id", "content_type"))
-    names = clone_manifest(keys.withColumnRenamed("page_id", "crawl_rank"))
+    names = materialize(clone_manifest(keys.withColumnRenamed("page_id", "crawl_rank")), "manifest")
     winners = names.select("domain", "path", F.col("crawl_rank").alias("page_id"))
     texts = _site(spark, sf_dir).join(winners, ["domain", "path", "page_id"], "left_semi")
     return clone_files(texts, names).groupBy("domain").agg(
@@ -221,9 +222,8 @@ def verify_warnings(spark, sf_dir):
 
 
 def _linked(spark, sf_dir):
-    pages = _site(spark, sf_dir)
-    facts = ops.page_facts(pages).select("domain", "path", "page_id", "status_code", "links")
-    return materialize(ops.unique_pages(facts), "linked")
+    linked = ops.page_links(_site(spark, sf_dir), "status_code").drop("bad_links")
+    return materialize(ops.unique_pages(linked), "linked")
 
 
 def _crawl(max_page: int | None = None, max_depth: int | None = None) -> Query:
@@ -242,15 +242,15 @@ def crawl_skipped(spark, sf_dir):
 # Sites --------------------------------------------------------------------
 
 
-def _site_and_api(spark, sf_dir):
-    """Pages of the sites in order of page number, and the endpoints of the scripts."""
-    pages = ops.page_facts(ok_only(_site(spark, sf_dir)).unionByName(_scripts(spark, sf_dir)))
-    kept = ops.unique_pages(pages.select("domain", "path", "page_id", "content_type", "title"))
-    return kept.withColumnRenamed("page_id", "crawl_rank"), _found(spark, sf_dir)
+def _good_pages(spark, sf_dir):
+    """Good pages of the sites and all scripts, in order of page number; written once."""
+    pages = ok_only(_site(spark, sf_dir)).unionByName(_scripts(spark, sf_dir))
+    titled = ops.titles(pages, "content_type").drop("url")
+    return materialize(ops.unique_pages(titled).withColumnRenamed("page_id", "crawl_rank"), "titled")
 
 
 def _routes(spark, sf_dir):
-    return routing.routes(*_site_and_api(spark, sf_dir))
+    return materialize(routing.routes(_good_pages(spark, sf_dir), _found(spark, sf_dir)), "routes")
 
 
 def all_routes(spark, sf_dir):
@@ -272,7 +272,7 @@ def api_spec_json(spark, sf_dir):
 
 
 def _report_parts(spark, sf_dir):
-    pages, _ = _site_and_api(spark, sf_dir)
+    pages = _good_pages(spark, sf_dir)
     found = _verified(spark, sf_dir)
     warnings = api.verify_warnings(found)
     return routing.summary(pages, found, warnings), found, routing.routes(pages, found), warnings

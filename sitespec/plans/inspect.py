@@ -108,6 +108,13 @@ def inspect(
         if "routes" in run:
             table = routes(crawled, found)
     noted = reduce(DataFrame.unionByName, warnings)
+    counts = summary(
+        crawled, found if found is not None else _no_endpoints(crawled), noted, facts.select("domain").distinct()
+    )
+    if "assets" not in run:
+        counts = counts.withColumn("assets_saved", F.lit(0).cast("bigint"))
+    if "routes" not in run:
+        counts = counts.withColumn("routes", F.lit(0).cast("bigint"))
     shown = crawled.drop("links", "bad_links", "calls")
     return Result(
         actions_run=run,
@@ -115,7 +122,7 @@ def inspect(
         skipped=reached.skipped,
         edges=explode_links(crawled),
         warnings=noted,
-        summary=summary(crawled, found if found is not None else _no_endpoints(crawled), noted),
+        summary=counts,
         endpoints=found,
         routes=table,
     )

@@ -156,7 +156,8 @@ def report_markdown_lines(
         "domain", F.lit(3).alias("section"), "line_no",
         F.concat(F.lit("- "), F.concat_ws(": ", "stage", "path", "message")).alias("line"),
     )
-    return _all([head, body, _fixed(warnings.select("domain").distinct(), 2, F.lit("## Warnings")), notes])
+    parts = [head, body, _fixed(warnings.select("domain").distinct(), 2, F.lit("## Warnings")), notes]
+    return _all([part.select(*LINE_COLUMNS) for part in parts])
 
 
 # Report formats and their file extensions.
@@ -172,11 +173,15 @@ def report_lines(fmt: str, summary, found, table, tree, warnings, actions: list[
     return report_markdown_lines(summary, found, warnings, actions)
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Write documents as text, one folder per domain.
+def write_lines(lines: DataFrame, path: str, folders: bool = False) -> None:
+    """Write documents in order: as one table, or as text with one folder per domain.
 
     The lines are range-partitioned by domain and position, so a large document
     is written by many tasks; its text is its part files in order of name.
+    Folders suit a moderate number of domains.
     """
     ordered = lines.sort("domain", "section", "line_no")
-    ordered.select("domain", F.col("line").alias("value")).write.partitionBy("domain").text(path)
+    if folders:
+        ordered.select("domain", F.col("line").alias("value")).write.partitionBy("domain").text(path)
+    else:
+        ordered.write.parquet(path)

@@ -31,7 +31,7 @@ def as_pages(df: DataFrame) -> DataFrame:
         (F.col("domain") if "domain" in have else url_netloc(url)).alias("domain"),
         path.alias("path"),
         url.alias("url"),
-        (F.col("page_id").cast("bigint") if "page_id" in have else F.xxhash64(url)).alias("page_id"),
+        (F.col("page_id").cast("bigint") if "page_id" in have else F.xxhash64(url, text)).alias("page_id"),
         (F.col("status_code").cast("int") if "status_code" in have else F.lit(200)).alias("status_code"),
         (norm_content_type(F.col("content_type")) if "content_type" in have else F.lit("text/html")).alias(
             "content_type"
@@ -41,9 +41,19 @@ def as_pages(df: DataFrame) -> DataFrame:
     )
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread the rows of a scan that has fewer partitions than the cluster has cores.
+
+    Parsing is the costly part, and a small file is one partition. A scan of many
+    files is left as it is: page texts are never shuffled then.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def load_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Page snapshots from a folder of files."""
-    return as_pages(spark.read.format(fmt).load(path))
+    return as_pages(spread(spark.read.format(fmt).load(path)))
 
 
 def load_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
