@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,25 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
+def built_once(fn: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the expression that ``fn`` builds from column names, per Spark context.
+
+    A large expression takes about a thousand calls into the JVM to build; an
+    operator used again in the same session need not repeat them.
+    """
+    built: dict[tuple, Column] = {}
+
+    @wraps(fn)
+    def wrapper(*names: str) -> Column:
+        context = SparkContext._active_spark_context
+        key = (id(context), context.applicationId if context else None, names)
+        if key not in built:
+            built[key] = fn(*names)
+        return built[key]
+
+    return wrapper
+
+
 def strip(c: Column) -> Column:
     """Trim white space of any kind on both sides (plain ``btrim`` takes blanks only)."""
     return F.btrim(c, F.lit(STRIP_CHARS))

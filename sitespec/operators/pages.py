@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sitespec.functions import html, javascript as js
 from sitespec.functions.navigation import js_nav_links
 from sitespec.functions.paths import route_root
-from sitespec.functions.strings import find_all, no_strings, strip
+from sitespec.functions.strings import built_once, strip
 from sitespec.functions.urls import bad_netloc, reject_link, resolve_reference, same_domain, split_reference
 
 
@@ -41,30 +41,42 @@ def page_kinds(pages: DataFrame) -> DataFrame:
 
 def titles(pages: DataFrame, *keep: str) -> DataFrame:
     """Title of every HTML page; NULL for other pages."""
-    title = F.when(html.is_html(F.col("content_type"), F.col("path")), html.html_title(F.col("text")))
-    return pages.select("domain", "path", "url", "page_id", *keep, title.alias("title"))
+    title = F.when(html.is_html(F.col("content_type"), F.col("path")), _title("tokens"))
+    keys = ("domain", "path", "url", "page_id", *keep)
+    tokens = pages.select(*{*keys, "content_type"}, _tokens("text").alias("tokens"))
+    return tokens.select(*keys, title.alias("title"))
 
 
-def _references(raw: Column) -> Column:
-    """Split references of the raw links that may be followed, duplicates removed."""
+@built_once
+def _tokens(text: str) -> Column:
+    return html.html_tokens(F.col(text))
+
+
+@built_once
+def _title(tokens: str) -> Column:
+    return html.token_title(F.col(tokens))
+
+
+@built_once
+def _references(tokens: str, text: str) -> Column:
+    """Split references of the links that may be followed, duplicates removed."""
+    raw = F.concat(html.tag_links(F.col(tokens)), js_nav_links(F.col(text)))
     followed = F.filter(F.transform(raw, strip), lambda v: ~reject_link(v))
     return F.transform(F.array_distinct(followed), split_reference)
 
 
-def _same_site_paths(references: Column, domain: Column, path: Column) -> Column:
-    usable = F.filter(references, lambda r: ~bad_netloc(r.netloc))
-    targets = F.transform(usable, lambda r: resolve_reference(r, F.lit("https"), domain, path))
-    same = F.filter(targets, lambda t: same_domain(t.netloc, domain))
+@built_once
+def _same_site_paths(references: str, domain: str, path: str) -> Column:
+    site = F.col(domain)
+    usable = F.filter(F.col(references), lambda r: ~bad_netloc(r.netloc))
+    targets = F.transform(usable, lambda r: resolve_reference(r, F.lit("https"), site, F.col(path)))
+    same = F.filter(targets, lambda t: same_domain(t.netloc, site))
     return F.array_sort(F.array_distinct(F.transform(same, lambda t: t.path)))
 
 
-def _with_references(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:
-    raw = F.concat(html.tag_links(tokens), js_nav_links(F.col("text")))
-    return df.select(*keep, _references(raw).alias("references"))
-
-
-def _bad_links(references: Column) -> Column:
-    return F.transform(F.filter(references, lambda r: bad_netloc(r.netloc)), lambda r: r.netloc)
+@built_once
+def _bad_links(references: str) -> Column:
+    return F.transform(F.filter(F.col(references), lambda r: bad_netloc(r.netloc)), lambda r: r.netloc)
 
 
 def page_links(pages: DataFrame, *keep: str) -> DataFrame:
@@ -74,19 +86,27 @@ def page_links(pages: DataFrame, *keep: str) -> DataFrame:
     ``bad_links`` holds the hosts of links that are not valid URLs.
     """
     keys = ("domain", "path", "page_id", *keep)
-    refs = _with_references(
-        pages.select(*keys, "text", html.html_tokens(F.col("text")).alias("tokens")), F.col("tokens"), *keys
-    )
+    tokens = pages.select(*keys, "text", _tokens("text").alias("tokens"))
+    refs = tokens.select(*keys, _references("tokens", "text").alias("references"))
     return refs.select(
         *keys,
-        _same_site_paths(F.col("references"), F.col("domain"), F.col("path")).alias("links"),
-        _bad_links(F.col("references")).alias("bad_links"),
+        _same_site_paths("references", "domain", "path").alias("links"),
+        _bad_links("references").alias("bad_links"),
     )
 
 
 def explode_links(linked: DataFrame) -> DataFrame:
     """Rows of ``page_links`` to one row per link. Links are already distinct within a page."""
-    return linked.select("domain", F.col("path").alias("src_path"), F.explode("links").alias("dst_path"))
+    return unfold(linked.select("domain", F.col("path").alias("src_path"), F.explode_outer("links").alias("dst_path")))
+
+
+def unfold(exploded: DataFrame) -> DataFrame:
+    """Drop the NULL rows of ``explode_outer`` or ``inline_outer``, told by the last column.
+
+    The plain generators make the optimizer add a filter on the size of the array
+    and push it below, which would compute the array, here a whole parse, twice.
+    """
+    return exploded.filter(F.col(exploded.columns[-1]).isNotNull())
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
@@ -109,10 +129,14 @@ def links_per_domain(linked: DataFrame) -> DataFrame:
     )
 
 
-CALL = (
-    "array<struct<line_no:int,endpoint_literal:string,url:string,method:string,function_purpose:string,"
-    "guessed_payload_keys:array<string>,response_schema:array<struct<key:string,kind:string>>,raw_js_context:string>>"
-)
+@built_once
+def _calls(text: str, root: str, lines: str, keys: str, reading: str) -> Column:
+    return js.call_site_array(*[F.col(c) for c in (text, root, lines, keys, reading)])
+
+
+@built_once
+def _root(path: str, text: str) -> Column:
+    return route_root(F.col(path), js.api_base_url(F.col(text)))
 
 
 def _script_facts(pages: DataFrame, *keep: str) -> DataFrame:
@@ -124,11 +148,9 @@ def _script_facts(pages: DataFrame, *keep: str) -> DataFrame:
         js.payload_format(text).alias("expected_payload_format"),
         js.response_keys(text).alias("js_response_reading_keys"),
         js.js_lines(text).alias("lines"),
-        route_root(F.col("path"), js.api_base_url(text)).alias("root"),
+        _root("path", "text").alias("root"),
     ).withColumn("reading", js.reading_text(F.col("lines")))
-    calls = js.call_site_array(
-        text, F.col("root"), F.col("lines"), F.col("js_response_reading_keys"), F.col("reading")
-    )
+    calls = _calls("text", "root", "lines", "js_response_reading_keys", "reading")
     return facts.select(*keep, "expected_payload_format", "js_response_reading_keys", calls.alias("calls"))
 
 
@@ -140,9 +162,11 @@ def call_sites(pages: DataFrame) -> DataFrame:
 
 def explode_calls(facts: DataFrame) -> DataFrame:
     """Rows with a ``calls`` array to one row per call site."""
-    return facts.select(
-        "domain", F.col("path").alias("file_path"), "crawl_rank", "expected_payload_format",
-        "js_response_reading_keys", F.inline("calls"),
+    return unfold(
+        facts.select(
+            "domain", F.col("path").alias("file_path"), "crawl_rank", "expected_payload_format",
+            "js_response_reading_keys", F.inline_outer("calls"),
+        )
     )
 
 
@@ -155,19 +179,17 @@ def page_facts(pages: DataFrame) -> DataFrame:
     ct, path, text = F.col("content_type"), F.col("path"), F.col("text")
     keys = ("domain", "path", "url", "page_id", "status_code", "content_type")
     is_script = html.is_javascript(ct, path) & js.call_line(text)
-    tokens = pages.select(*keys, "text", html.html_tokens(text).alias("tokens"))
-    refs = _with_references(
-        tokens.select(
-            *keys, "text", "tokens",
-            F.when(html.is_html(ct, path), html.token_title(F.col("tokens"))).alias("title"),
-            F.when(is_script, text).alias("script"),
-        ),
-        F.col("tokens"), *keys, "title", "script",
+    tokens = pages.select(*keys, "text", _tokens("text").alias("tokens"))
+    refs = tokens.select(
+        *keys,
+        F.when(html.is_html(ct, path), _title("tokens")).alias("title"),
+        F.when(is_script, text).alias("script"),
+        _references("tokens", "text").alias("references"),
     )
     linked = refs.select(
         *keys, "title", F.col("script").alias("text"),
-        _same_site_paths(F.col("references"), F.col("domain"), path).alias("links"),
-        _bad_links(F.col("references")).alias("bad_links"),
+        _same_site_paths("references", "domain", "path").alias("links"),
+        _bad_links("references").alias("bad_links"),
     )
     return _script_facts(linked, *keys, "title", "links", "bad_links")
 

@@ -70,14 +70,17 @@ def site_titles(spark, sf_dir):
     return ops.titles(_site(spark, sf_dir)).select("page_id", "title")
 
 
+def _edges(linked: DataFrame) -> DataFrame:
+    source = F.col("path").alias("src_path")
+    return ops.unfold(linked.select("page_id", "domain", source, F.explode_outer("links").alias("dst_path")))
+
+
 def link_edges(spark, sf_dir):
-    linked = ops.page_links(_snapshots(spark, sf_dir))
-    return linked.select("page_id", "domain", F.col("path").alias("src_path"), F.explode("links").alias("dst_path"))
+    return _edges(ops.page_links(_snapshots(spark, sf_dir)))
 
 
 def site_links(spark, sf_dir):
-    linked = ops.page_links(_site(spark, sf_dir))
-    return linked.select("page_id", "domain", F.col("path").alias("src_path"), F.explode("links").alias("dst_path"))
+    return _edges(ops.page_links(_site(spark, sf_dir)))
 
 
 def discovered_links(spark, sf_dir):
@@ -90,7 +93,7 @@ def links_per_domain(spark, sf_dir):
 
 def js_nav(spark, sf_dir):
     pages = _site(spark, sf_dir).unionByName(_scripts(spark, sf_dir))
-    return pages.select("domain", "page_id", F.explode(js_nav_links(F.col("text"))).alias("link"))
+    return ops.unfold(pages.select("domain", "page_id", F.explode_outer(js_nav_links(F.col("text"))).alias("link")))
 
 
 def page_kinds(spark, sf_dir):

@@ -42,13 +42,13 @@ def as_pages(df: DataFrame) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Spread the rows of a scan that has fewer partitions than the cluster has cores.
+    """Spread the rows of a scan that has few partitions for the cores of the cluster.
 
     Parsing is the costly part, and a small file is one partition. A scan of many
     files is left as it is: page texts are never shuffled then.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < 4 * cores else scan
 
 
 def load_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
