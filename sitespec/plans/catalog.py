@@ -39,7 +39,9 @@ def _site(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_pages(derived.js_files(spark, sf_dir))
+    # The files come out of an aggregation whose few output bytes would be parsed by few tasks.
+    files = derived.js_files(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    return as_pages(files)
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
