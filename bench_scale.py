@@ -36,7 +36,7 @@ def main() -> None:
         F.concat(F.lit("https://h"), F.col("copy"), F.lit("."))
     )
     (
-        pages.crossJoin(spark.range(copies).withColumnRenamed("id", "copy"))
+        pages.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
         .select(
             (F.col("page_id") * copies + F.col("copy")).alias("page_id"),
             F.concat(host, F.regexp_replace("url", "^https?://", "")).alias("url"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sitespec.functions.entities import html_unescape
 from sitespec.functions.strings import find_all, let, strip
 
+# Fixed value: the title of a page that has none.
 UNTITLED = "Untitled Page"
 
 # Inside of a tag up to, not including, its ">" or "/>".

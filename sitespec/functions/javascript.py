@@ -9,6 +9,8 @@ from sitespec.functions.paths import route_below
 from sitespec.functions.strings import find_all, let, no_strings, strip
 
 MAX_LEN = 2147483647
+
+# Fixed value: where endpoints live when a script names no base.
 DEFAULT_BASE = "../api"
 
 # Payload formats.

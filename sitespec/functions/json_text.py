@@ -14,6 +14,8 @@ TRANSACTIONS_JSON = '[{"id":"TYPE_NUMBER","reference":"TYPE_STRING","amount":"TY
 EMPTY_JSON = "{}"
 STRING_JSON = '"TYPE_STRING"'
 UNKNOWN_JSON = '"TYPE_UNKNOWN_DETERMINED_BY_JS"'
+# Fixed value: the sample of a response that claims to be JSON and is not.
+BROKEN_JSON = '{"error":"Failed to parse returned JSON string"}'
 
 
 def json_text(c: Column) -> Column:
@@ -77,7 +79,7 @@ def response_sample(content_type: Column, body: Column) -> Column:
         lambda v: F.coalesce(
             F.to_json(F.try_variant_get(v, "$[0]", "variant")),
             F.to_json(v),
-            F.lit('{"error":"Failed to parse returned JSON string"}'),
+            F.lit(BROKEN_JSON),
         ),
     )
     plain = json_object(("raw_non_json_sample", json_text(F.substring(body, 1, 200))))

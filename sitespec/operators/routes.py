@@ -13,6 +13,13 @@ from sitespec.operators.ranking import number_within
 
 ORDER = ("section", "crawl_rank", "line_no", "path")
 
+# Texts of the route tree.
+TREE_HEAD = ("📂 ", " (Enterprise Frontend Map Layout)")
+API_HEAD = "⚙️ Simulated Backend API Endpoint Tree"
+NO_API = "└── [No API Endpoints Captured]"
+BRANCH, LAST_BRANCH = "├── ", "└── "
+TITLE_MARK = ("  📌 (", ")")
+
 
 def page_routes(pages: DataFrame) -> DataFrame:
     """Routes of crawled pages: HTML pages as folders, others as files."""
@@ -83,8 +90,8 @@ def tree_lines(domains: DataFrame, table: DataFrame) -> DataFrame:
     items = number_within(
         listed.unionByName(apis), ["domain", "part"], ["path", "section", "crawl_rank", "line_no"], "n", "size"
     )
-    title = F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit("  📌 ("), "title", F.lit(")")))
-    connector = F.when(F.col("n") == F.col("size"), F.lit("└── ")).otherwise(F.lit("├── "))
+    title = F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit(TITLE_MARK[0]), "title", F.lit(TITLE_MARK[1])))
+    connector = F.when(F.col("n") == F.col("size"), F.lit(LAST_BRANCH)).otherwise(F.lit(BRANCH))
     body = items.select(
         "domain", F.col("part").alias("section"), F.col("n").alias("line_no"),
         F.concat(connector, "path", F.coalesce(title, F.lit(""))).alias("line"),
@@ -95,17 +102,17 @@ def tree_lines(domains: DataFrame, table: DataFrame) -> DataFrame:
             F.array(
                 F.struct(
                     F.lit(0).alias("section"),
-                    F.concat(F.lit("📂 "), "domain", F.lit(" (Enterprise Frontend Map Layout)")).alias("line"),
+                    F.concat(F.lit(TREE_HEAD[0]), "domain", F.lit(TREE_HEAD[1])).alias("line"),
                 ),
                 F.struct(F.lit(2).alias("section"), F.lit("").alias("line")),
-                F.struct(F.lit(3).alias("section"), F.lit("⚙️ Simulated Backend API Endpoint Tree").alias("line")),
+                F.struct(F.lit(3).alias("section"), F.lit(API_HEAD).alias("line")),
             )
         ),
     )
     empty = (
         domains.select("domain").distinct()
         .join(items.filter(F.col("part") == 4).select("domain").distinct(), "domain", "left_anti")
-        .select("domain", F.lit(4).alias("section"), F.lit("└── [No API Endpoints Captured]").alias("line"))
+        .select("domain", F.lit(4).alias("section"), F.lit(NO_API).alias("line"))
     )
     heads = fixed.unionByName(empty).select("domain", "section", F.lit(1).cast("bigint").alias("line_no"), "line")
     return body.unionByName(heads)

@@ -17,10 +17,11 @@ RESPONSE_SCHEMA = (
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a local one is made only where none is named, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="sitespec-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sitespec-checkpoint-"))
+        folder = context.getCheckpointDir()
     return folder
 
 
