@@ -25,10 +25,12 @@ _RAW = r"{0}(?=[\s/>])" + _BODY + r"(?:/>|>.*?(?:</{0}\s*+>|\z))"
 _TITLE = r"title(?=[\s/>])" + _BODY + r">(?:[^<]++|<(?![a-zA-Z/!?]))*+(?:</title\s*+>)?+"
 
 # Comments, declarations and end tags, raw-text elements, titles, other start tags.
+# What is never closed runs to the end of the page, so that a page full of
+# openings is not scanned once per opening; such a tag has no attributes.
 TOKEN = (
-    r"(?is)<(?:!--.*?--\s*>|[!?/][^>]*+>|"
+    r"(?is)<(?:!--.*?(?:--\s*>|\z)|[!?/][^>]*+(?:>|\z)|"
     + _RAW.format("script") + "|" + _RAW.format("style") + "|" + _TITLE
-    + r"|[a-z][^\s/>]*+" + _BODY + r"/?>)"
+    + r"|[a-z][^\s/>]*+" + _BODY + r"(?:/?>|\z))"
 )
 USED_TOKEN = r"(?i)^<(?:a|link|script|img|iframe|source|title)[\s/>]"
 START_TAG = r"(?is)^<[a-z][^\s/>]*+" + _BODY + r"/?>"

@@ -204,12 +204,12 @@ def _block_keys(blocks: Column) -> Column:
 def body_json_blocks(scope: Column, stringify_paren: bool = False) -> Column:
     """``body: {...}`` up to the first ``}``; ``JSON.stringify({`` only on request."""
     paren = r"\(?" if stringify_paren else ""
-    return find_all(scope, rf"(?s)body\s*+:\s*+(?:JSON\.stringify{paren})?\s*+\{{\s*+(.*?)\s*\}}")
+    return find_all(scope, rf"(?s)body\s*+:\s*+(?:JSON\.stringify{paren})?\s*+\{{([^}}]*+)\}}")
 
 
 def var_blocks(scope: Column) -> Column:
     """Object literals assigned to a variable."""
-    return find_all(scope, rf"(?s)(?:const|let|var)\s++{_WORD}++\s*+=\s*+\{{\s*+(.*?)\s*\}}")
+    return find_all(scope, rf"(?s)(?:const|let|var)\s++{_WORD}++\s*+=\s*+\{{([^}}]*+)\}}")
 
 
 def payload_keys(scope: Column, stringify_paren: bool = False) -> Column:

@@ -19,6 +19,8 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     cursor = duck.execute(entry.oracle_sql()[name])
     want = rows([d[0] for d in cursor.description], cursor.fetchall())
     assert rows(df.columns, df.collect()) == want and want[0]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Cartesian", "NestedLoop"))
 
 
 def test_entry(spark):

@@ -1,5 +1,6 @@
 import html
 import random
+import time
 from html.parser import HTMLParser
 
 from hypothesis import HealthCheck, Phase, given, settings
@@ -65,10 +66,18 @@ markup = st.sampled_from(
 def test_links_like_stdlib(evaluate, texts):
     fn = lambda t: F.struct(h.href_links(h.html_tokens(t)).alias("h"), h.src_links(h.html_tokens(t)).alias("s"))
     got = evaluate(fn, [(t,) for t in texts], ["string"])
-    pairs = [(t, (g["h"], g["s"]), _stdlib_links(t)) for t, g in zip(texts, got)]
+    # What a comment without end hides depends on the Python version; ours runs to the end of the page.
+    closed = [(t, g) for t, g in zip(texts, got) if t.rfind("<!--") <= t.rfind("-->")]
+    pairs = [(t, (g["h"], g["s"]), _stdlib_links(t)) for t, g in closed]
     assert [p for p in pairs if p[1] != p[2]] == []
 
 
+def test_comments_and_scripts(evaluate):
+    cases = [("<script>/* <!-- */</script><a href=/k>", ["/k"]), ("<a href=/1><!-- <a href=/2>", ["/1"]),
+             ("<!-- <script> --><a href=/3>", ["/3"]), ("<script><a href=/4>", [])]
+    assert evaluate(lambda t: h.href_links(h.html_tokens(t)), [(a,) for a, _ in cases], ["string"]) == [b for _, b in cases]
+
+
 def test_titles(evaluate):
     cases = [
         ("<p>no title</p>", "Untitled Page"), ("<title></title>", "Untitled Page"), ("<title> </title>", ""),
@@ -90,6 +99,17 @@ def test_large_pages_do_not_exhaust_the_stack(evaluate):
     assert len(got[3]["h"][0]) == 1_000_000 and got[5]["h"] == ["<" * 1000]
 
 
+def test_pages_full_of_openings_stay_linear(evaluate):
+    texts = ["<a" * 500_000, "<!--" * 300_000, "</" * 500_000, "<a href=/x " * 100_000, "<script " * 100_000,
+             "<script>" * 100_000, "<title>" * 100_000, "location = '" * 50_000, "<a href='/y'>" + "<!" * 400_000]
+    fn = lambda t: F.struct(h.href_links(h.html_tokens(t)).alias("h"), h.html_title(t).alias("t"),
+                            F.size(nav.js_nav_links(t)).alias("n"))
+    start = time.time()
+    got = evaluate(fn, [(t,) for t in texts], ["string"])
+    assert [g["h"] for g in got] == [[]] * 8 + [["/y"]]
+    assert time.time() - start < 60
+
+
 def test_page_kinds(evaluate):
     fn = lambda c, p: F.array(h.is_html(c, p), h.is_javascript(c, p), h.is_static_asset(c, p))
     cases = [(("", "/x.js"), [True, True, False]), (("text/css", "/s"), [False, False, True]),

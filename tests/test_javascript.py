@@ -101,7 +101,9 @@ def test_scope_uses_first_occurrence_of_the_literal(evaluate):
 def test_large_scripts_stay_linear(evaluate):
     many = "function f(){\n" + "if (x) { y(); }\n" * 60_000 + "fetch('/a');\n}"
     blob = "var z = {" + "A" * 1_000_000 + "};fetch('/b')"
+    blanks = "function g(){ fetch('/c', {body: {k:" + " " * 500_000 + "1}}) }"
     start = time.time()
-    got = evaluate(sites, [(many,), (blob,)], ["string"])
-    assert [s[0]["url"] for s in got] == ["/a", "/b"]
+    got = evaluate(sites, [(many,), (blob,), (blanks,)], ["string"])
+    assert [s[0]["url"] for s in got] == ["/a", "/b", "/c"]
+    assert got[2][0]["guessed_payload_keys"] == ["k"]
     assert time.time() - start < 60

@@ -41,7 +41,9 @@ def test_crawl_stops_early_once_budgets_are_full(spark):
     assert done.levels == 3 and done.pages.count() == 3
 
 
-def test_number_within_equals_row_number_on_a_hot_group(spark):
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_number_within_equals_row_number_on_a_hot_group(spark, coalesce):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
     df = spark.range(5000).select(
         F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("d"), F.col("id") % 50)).alias("domain"),
         F.sha2(F.col("id").cast("string"), 256).alias("key"),
@@ -52,6 +54,7 @@ def test_number_within_equals_row_number_on_a_hot_group(spark):
         "size", F.count(F.lit(1)).over(w)
     )
     assert got.exceptAll(want).count() == 0 and got.count() == 5000
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_join_per_domain_equals_plain_join(spark):
