@@ -48,7 +48,7 @@ def spread(scan: DataFrame) -> DataFrame:
     files is left as it is: page texts are never shuffled then.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < 4 * cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < 2 * cores else scan
 
 
 def load_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
