@@ -2,4 +2,54 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+# Patterns as fixed values, written for DuckDB: letters in either case as classes.
+_KINDS = (
+    ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+    ("github", r"gh[opsu]_[A-Za-z0-9]{36,}", 0, 0),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("google", r"AIza[A-Za-z0-9_-]{35,}", 0, 0),
+    ("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
+    ("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 0),
+)
+_BASE = 3
+
+
+def _spans(number: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """Matches of one kind with their places: the texts between matches and the matches add up to offsets."""
+    return f"""
+    SELECT doc_id, {number} AS k, '{kind}' AS kind, start_at, start_at + length(found) AS end_at
+    FROM (SELECT doc_id, unnest(m) AS found, unnest(g) AS part, unnest(list_transform(generate_series(1, len(m)),
+            lambda i: (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))::BIGINT)) AS start_at
+          FROM (SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {group}) AS g,
+                       string_split_regex(text, '{pattern}') AS p FROM docs))
+    WHERE length(part) >= {least}"""
+
+
+_SECRETS = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(_spans(i, *kind) for i, kind in enumerate(_KINDS))}),
+by_doc AS (
+    SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+           coalesce(string_agg(kind || ':' || start_at || ':' || end_at, ',' ORDER BY start_at, k) FILTER (k < {_BASE}), '') AS base,
+           string_agg(kind || ':' || start_at || ':' || end_at, ',' ORDER BY start_at, k) AS spans
+    FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN by_doc USING (doc_id)"""
+
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first_id < page_id THEN first_id END AS refers_to
+FROM f"""
+
+ORACLES: dict[str, str] = {
+    "op5_secret_scan": _SECRETS,
+    "op9_warc": _WARC,
+}

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitespec.llm.common import table
+from sitespec.llm.licenses import scan_licenses
+from sitespec.llm.secrets import BASE, joined, scan_secrets
 from sitespec.llm.token_records import token_records
+from sitespec.llm.warc import warc_round_trip
 
 
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +20,49 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text: counts and a digest of the base kinds, and all spans."""
+
+    def of_kinds(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(F.size(of_kinds(rule.kind)).cast("long").alias(f"n_{rule.kind}") for rule in BASE),
+        F.sha2(joined(of_kinds(*(rule.kind for rule in BASE))), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every whole text."""
+
+    def listed(labels: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    words, base, more = F.col("places.word"), F.col("places.label"), F.col("notices.label")
+    best = F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("notices.score"), F.lit(0.0)))
+    return scan_licenses(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"),
+        listed(base).alias("base_labels"),
+        listed(F.concat(base, more)).alias("labels"),
+        best.alias("score"),
+    )
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, read back by verified record boundaries."""
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_records": op4_token_records,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_license_scan": op6_license_scan,
+    "op9_warc": op9_warc,
 }
