@@ -8,13 +8,25 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitespec.llm.binary_codes import near_vectors
 from sitespec.llm.common import table
 from sitespec.llm.licenses import scan_licenses
+from sitespec.llm.minmax_dedup import near_duplicates
 from sitespec.llm.secrets import BASE, joined, scan_secrets
 from sitespec.llm.token_records import token_records
 from sitespec.llm.warc import warc_round_trip
 
 
+def op1_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents over five-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate embeddings by cosine."""
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole text, written as binary records and read back."""
     return token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -61,6 +73,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minmax_dedup": op1_minmax_dedup,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_token_records": op4_token_records,
     "op5_secret_scan": op5_secret_scan,
     "op6_license_scan": op6_license_scan,

@@ -32,7 +32,7 @@ END_ID = 0
 #: Bytes of a shard after which a task begins the next one.
 SHARD_BYTES = 64 << 20
 #: Words whose ids a task remembers; a full memory is emptied, which changes no result.
-MEMORY = 600_000
+MEMORY = 200_000
 _MASK = 0xA282EAD8
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n_tokens", "<i8")])
 
