@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitespec.llm.binary_codes import near_vectors
+from sitespec.llm.byte_cnn import identify_languages
 from sitespec.llm.common import table
 from sitespec.llm.licenses import scan_licenses
 from sitespec.llm.minmax_dedup import near_duplicates
+from sitespec.llm.mixing import domains_of, mixing_rates
+from sitespec.llm.pieces import piece_round_trip
 from sitespec.llm.secrets import BASE, joined, scan_secrets
 from sitespec.llm.token_records import token_records
 from sitespec.llm.warc import warc_round_trip
@@ -22,6 +25,11 @@ def op1_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85, width=5)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the documents that are not held out."""
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate embeddings by cosine."""
     return near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
@@ -67,16 +75,34 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Shares of the tokens that the mixture shall hold, by domain (quality and toxicity).
+WEIGHTS = {"q1t0": 0.8, "q0t0": 0.145, "q1t1": 0.05, "q0t1": 0.005}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents that bring the domains learned from ``labels`` to their shares."""
+    documents = table(spark, sf_dir, "documents")
+    return mixing_rates(documents, domains_of(documents, table(spark, sf_dir, "labels")), WEIGHTS)[0]
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, read back by verified record boundaries."""
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded, checked against the original library where the id is divisible by 100."""
+    return piece_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), every=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minmax_dedup": op1_minmax_dedup,
+    "op2_language_id": op2_language_id,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_token_records": op4_token_records,
     "op5_secret_scan": op5_secret_scan,
     "op6_license_scan": op6_license_scan,
+    "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
+    "op10_sentencepiece": op10_sentencepiece,
 }
