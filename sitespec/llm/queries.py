@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sitespec.llm.binary_codes import near_vectors
 from sitespec.llm.byte_cnn import identify_languages
 from sitespec.llm.common import table
+from sitespec.llm.imatch import fingerprints
 from sitespec.llm.licenses import scan_licenses
 from sitespec.llm.minmax_dedup import near_duplicates
 from sitespec.llm.mixing import domains_of, mixing_rates
@@ -75,6 +76,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I-Match fingerprints of every whole text and of its edited text."""
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 #: Shares of the tokens that the mixture shall hold, by domain (quality and toxicity).
 WEIGHTS = {"q1t0": 0.8, "q0t0": 0.145, "q1t1": 0.05, "q0t1": 0.005}
 
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_records": op4_token_records,
     "op5_secret_scan": op5_secret_scan,
     "op6_license_scan": op6_license_scan,
+    "op7_imatch": op7_imatch,
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
