@@ -182,7 +182,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
     Documents are linked where 100 * intersection >= percent * union of their sets of ``width``-word shingles;
     ``component_id`` is the smallest doc_id reachable and ``kept`` says that it is the document's own. Texts
     without words (NULL, empty, white space) link with nothing. Rows without doc_id get NULL component_id and
-    are kept. Rows that share a doc_id are one document with several texts. Other columns are not looked at.
+    are kept. doc_id is taken as unique: rows that share one get a row each, by the class of their own text.
+    Other columns are not looked at.
 
     How: equal sets are one class, held by its smallest id. Class holders are banded by min-max signatures. In
     each bucket, every member is compared in full with the smallest one (the leader); what that links is one
