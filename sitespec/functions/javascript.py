@@ -114,11 +114,21 @@ def response_kind(key: Column) -> Column:
     )
 
 
+def keys_read(keys: Column, reading: Column) -> Column:
+    """The keys that occur on a reading line; a fact of the file, the same for all its calls."""
+    return let(reading, lambda text: F.filter(keys, lambda key: F.contains(text, key)))
+
+
 def response_schema(keys: Column, reading: Column, line: Column) -> Column:
     """``array<struct<key, kind>>`` of the keys seen on the call line or on a reading line."""
+    return let(keys_read(keys, reading), lambda read: _schema(keys, read, line))
+
+
+def _schema(keys: Column, read: Column, line: Column) -> Column:
+    """The same, from the keys that ``keys_read`` has found."""
 
     def entry(key: Column) -> Column:
-        seen = F.contains(line, key) | F.contains(reading, key)
+        seen = F.contains(line, key) | F.array_contains(read, key)
         kind = F.when(seen, response_kind(key)).when(key.isin("status", "message"), F.lit(KIND_STRING))
         return F.struct(key.alias("key"), kind.alias("kind"))
 
@@ -146,17 +156,21 @@ def _scan(tail: Column) -> Column:
     return F.aggregate(find_all(tail, r"[^{}]++[{}]?+|[{}]", 0), start, step)
 
 
-def _scope_from_brace(tail: Column) -> Column:
-    """Most scopes end inside a first window; only the others scan the whole tail."""
+def _scope_at(js: Column, opens: Column) -> Column:
+    """Scope from the brace at a 1-based position: most end inside a first window, only the others take the rest."""
 
-    def far() -> Column:
+    def far(tail: Column) -> Column:
         return let(_scan(tail), lambda all_of_it: F.when(all_of_it.done, F.substring(tail, F.lit(1), all_of_it.used)))
 
-    return let(
-        _scan(F.substring(tail, 1, SCOPE_WINDOW)),
-        lambda near: F.when(near.done, F.substring(tail, F.lit(1), near.used))
-        .when(F.length(tail) > SCOPE_WINDOW, far()),
-    )
+    def near(window: Column) -> Column:
+        return let(
+            _scan(window),
+            lambda found: F.when(found.done, F.substring(window, F.lit(1), found.used)).when(
+                F.length(window) == SCOPE_WINDOW, let(F.substring(js, opens, F.lit(MAX_LEN)), far)
+            ),
+        )
+
+    return let(F.substring(js, opens, F.lit(SCOPE_WINDOW)), near)
 
 
 def _scope_line(js: Column, pos: Column, head: Column) -> Column:
@@ -180,10 +194,19 @@ def enclosing_scope(js: Column, pos: Column) -> Column:
     def from_head(head: Column) -> Column:
         opens = F.length(head) - F.length(F.substring_index(head, "{", -1))
         return F.when(
-            F.contains(head, F.lit("{")), let(F.substring(js, opens, F.lit(MAX_LEN)), _scope_from_brace)
+            F.contains(head, F.lit("{")), _scope_at(js, opens)
         ).otherwise(_scope_line(js, pos, head))
 
-    return let(F.substring(js, F.lit(1), pos - 1), from_head)
+    # The nearest brace mostly stands close before the position; the whole head is cut only where it does not.
+    first = F.greatest(pos - SCOPE_WINDOW, F.lit(1))
+
+    def from_near(near: Column) -> Column:
+        opens = first + F.length(near) - F.length(F.substring_index(near, "{", -1)) - 1
+        return F.when(F.contains(near, F.lit("{")), _scope_at(js, opens)).otherwise(
+            let(F.substring(js, F.lit(1), pos - 1), from_head)
+        )
+
+    return let(F.substring(js, first, pos - first), from_near)
 
 
 def append_keys(scope: Column) -> Column:
@@ -252,16 +275,19 @@ def call_site_array(
             let(F.instr(js, c.literal), lambda pos: enclosing_scope(js, pos)).alias("scope"),
         ),
     )
-    return F.transform(
+    # Bound once: the optimizer puts the columns' definitions here, and in a lambda they would run for each call.
+    facts = F.struct(root.alias("root"), keys.alias("keys"), keys_read(keys, reading).alias("read"))
+    describe = lambda file: F.transform(
         scoped,
         lambda s: F.struct(
             s.call.line_no.alias("line_no"),
             s.call.literal.alias("endpoint_literal"),
-            route_below(root, s.call.literal).alias("url"),
+            route_below(file.root, s.call.literal).alias("url"),
             http_method(s.call.line).alias("method"),
             function_purpose(s.call.line).alias("function_purpose"),
             payload_keys(s.scope, stringify_paren).alias("guessed_payload_keys"),
-            response_schema(keys, reading, s.call.line).alias("response_schema"),
+            _schema(file.keys, file.read, s.call.line).alias("response_schema"),
             raw_js_context(s.call.line).alias("raw_js_context"),
         ),
     )
+    return let(facts, describe)

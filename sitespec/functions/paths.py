@@ -57,10 +57,10 @@ def route_root(file_path: Column, base: Column) -> Column:
     to the script's own folder.
     """
     return let(
-        posix_dirname(file_path),
-        lambda folder: F.when(F.startswith(base, F.lit("http")), F.lit("/api"))
-        .when(base == "", folder)
-        .otherwise(posix_normpath(posix_join(folder, base))),
+        F.struct(posix_dirname(file_path).alias("folder"), base.alias("base")),
+        lambda b: F.when(F.startswith(b.base, F.lit("http")), F.lit("/api"))
+        .when(b.base == "", b.folder)
+        .otherwise(posix_normpath(posix_join(b.folder, b.base))),
     )
 
 

@@ -47,6 +47,26 @@ def crawl(
     shuffled again. Domains that have reached their budget leave the frontier.
     """
     nodes = _nodes(linked).persist()
+    try:
+        levels = _levels(nodes, max_page, max_depth, seed)
+    finally:
+        nodes.unpersist()
+
+    tried = _union(levels)
+    good = tried.filter(F.col("links").isNotNull()).select("domain", "path", "depth")
+    pages = number_within(good, ["domain"], ["depth", "path"], "crawl_rank")
+    missed = tried.filter(F.col("links").isNull()).select("domain", "path", "depth", "status_code")
+    if max_page is not None:
+        pages = pages.filter(F.col("crawl_rank") <= max_page)
+        # A site with a full budget stops at its last good page: what comes after it is never tried.
+        last = pages.filter(F.col("crawl_rank") == max_page).select("domain", F.struct("depth", "path").alias("_last"))
+        before = join_per_domain(missed, last, "left", F.col("path"))
+        missed = before.filter(F.col("_last").isNull() | (F.struct("depth", "path") < F.col("_last"))).drop("_last")
+    return Crawl(pages, missed, len(levels))
+
+
+def _levels(nodes: DataFrame, max_page: int | None, max_depth: int | None, seed: str) -> list[DataFrame]:
+    """The tried paths of each depth with the links of the good ones, written to the shared folder."""
 
     def look_up(frontier: DataFrame, depth: int) -> DataFrame:
         found = frontier.join(nodes, ["domain", "path"], "left")
@@ -72,15 +92,7 @@ def crawl(
         if level.isEmpty():
             break
         levels.append(level)
-    nodes.unpersist()
-
-    tried = _union(levels)
-    good = tried.filter(F.col("links").isNotNull()).select("domain", "path", "depth")
-    pages = number_within(good, ["domain"], ["depth", "path"], "crawl_rank")
-    if max_page is not None:
-        pages = pages.filter(F.col("crawl_rank") <= max_page)
-    missed = tried.filter(F.col("links").isNull()).select("domain", "path", "depth", "status_code")
-    return Crawl(pages, missed, len(levels))
+    return levels
 
 
 def _union(levels: list[DataFrame]) -> DataFrame:

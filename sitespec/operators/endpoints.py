@@ -85,11 +85,16 @@ def probe_plan(found: DataFrame) -> DataFrame:
 def latest_responses(responses: DataFrame) -> DataFrame:
     """The last captured response of each ``(domain, full_url, method)``.
 
-    ``url`` may be a route or a full URL. One row per key and task is shuffled.
+    ``url`` may be a route or a full URL. The order is by response_id, responses without one first, and by a hash
+    of the row, so that it is never NULL. One row per key and task is shuffled.
     """
     keyed = responses.withColumn("full_url", full_url(page_url(F.col("domain"), F.lit("")), F.col("url")))
+    order = F.struct(
+        F.coalesce("response_id", F.lit(-(2**63))).alias("id"),
+        F.xxhash64("status_code", "content_type", "body").alias("row"),
+    )
     last = keyed.groupBy("domain", "full_url", "method").agg(
-        F.max_by(F.struct("status_code", "content_type", "body"), F.col("response_id")).alias("r")
+        F.max_by(F.struct("status_code", "content_type", "body"), order).alias("r")
     )
     return last.select("domain", "full_url", "method", "r.*")
 

@@ -195,11 +195,14 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
 
 def unique_pages(facts: DataFrame) -> DataFrame:
-    """One row per ``(domain, path)``, the one with the lowest ``page_id``.
+    """One row per ``(domain, path)``, the one with the lowest ``page_id``; rows without one come last.
+
+    Ties are settled by a hash of the row, so the order is never NULL.
 
     Partial aggregation keeps one row per key and task before the shuffle, so a
     page captured very often does not gather in one place. Call it on narrow rows.
     """
     rest = [c for c in facts.columns if c not in ("domain", "path")]
-    best = facts.groupBy("domain", "path").agg(F.min_by(F.struct(*rest), F.col("page_id")).alias("row"))
+    order = F.struct(F.coalesce("page_id", F.lit(2**63 - 1)).alias("id"), F.xxhash64(*rest).alias("row"))
+    best = facts.groupBy("domain", "path").agg(F.min_by(F.struct(*rest), order).alias("row"))
     return best.select("domain", "path", "row.*").select(*facts.columns)

@@ -16,10 +16,12 @@ RESPONSE_SCHEMA = (
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one is made only where none is named, as in tests."""
+    """The cluster's checkpoint folder; a local one is made only in local mode where none is named, as in tests."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sitespec-checkpoint-"))
         folder = context.getCheckpointDir()
     return folder

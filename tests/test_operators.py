@@ -186,3 +186,61 @@ def test_discovered_links_need_no_shuffle(spark, links):
     assert P.discovered_links(linked).collect()[0].paths == links
     assert [r.dst_path for r in P.explode_links(linked).collect()] == links
     assert "Exchange" not in P.extract_links(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_responses_without_id_count(spark):
+    from sitespec.operators.endpoints import latest_responses
+    from sitespec.schemas import RESPONSE_SCHEMA
+
+    rows = [
+        (None, "d", "https://d/api/u", "POST", 200, "application/json", "{}"),
+        (None, "d", "https://d/api/v", "GET", 500, "text/html", "no id"),
+        (7, "d", "https://d/api/v", "GET", 200, "text/html", "seven"),
+        (None, "d", "https://d/api/u", "POST", 200, "application/json", "{}"),
+    ]
+    got = {r.full_url: r.body for r in latest_responses(spark.createDataFrame(rows, RESPONSE_SCHEMA)).collect()}
+    assert got == {"https://d/api/u": "{}", "https://d/api/v": "seven"}
+
+
+def test_pages_without_id_count(spark):
+    rows = [("d", "/", None, "a"), ("d", "/", 4, "b"), ("d", "/x", None, "c"), ("d", "/x", None, "c")]
+    from sitespec.operators.pages import unique_pages
+
+    got = unique_pages(spark.createDataFrame(rows, "domain string, path string, page_id long, title string")).collect()
+    assert sorted((r.path, r.page_id, r.title) for r in got) == [("/", 4, "b"), ("/x", None, "c")]
+
+
+def test_nothing_is_skipped_after_a_full_budget(spark):
+    from sitespec.operators.crawl import crawl
+
+    rows = [
+        ("a", "/", 200, ["/a", "/b", "/c"]), ("a", "/a", 200, []), ("a", "/c", 404, []),
+        ("b", "/", 200, ["/a", "/b", "/c"]), ("b", "/b", 200, []), ("c", "/", 200, ["/x"]),
+    ]
+    linked = spark.createDataFrame(rows, "domain string, path string, status_code int, links array<string>")
+    got = crawl(linked, max_page=2)
+    assert sorted((r.domain, r.path) for r in got.pages.collect()) == [("a", "/"), ("a", "/a"), ("b", "/"), ("b", "/b"), ("c", "/")]
+    assert sorted((r.domain, r.path) for r in got.skipped.collect()) == [("b", "/a"), ("c", "/x")]
+
+
+def test_scripts_with_many_calls_and_keys(spark):
+    import time
+
+    from sitespec.operators.pages import call_sites
+
+    def script(calls):
+        lines = [f"const v{i} = data.key{i};" for i in range(calls)]
+        lines += [f"async function f{i}() {{ const r = await apiCall('/r{i}', 'POST'); form.append('k{i}', 1); }}" for i in range(calls)]
+        return "\n".join(lines)
+
+    schema = "domain string, path string, page_id long, content_type string, text string"
+
+    def seconds(calls):
+        page = spark.createDataFrame([("d", "/a.js", 1, "application/javascript", script(calls))], schema)
+        start = time.time()
+        assert call_sites(page).count() == calls
+        call_sites(page).write.format("noop").mode("overwrite").save()
+        return time.time() - start
+
+    seconds(10)
+    assert seconds(800) < 60

@@ -102,3 +102,28 @@ def test_manifest_last_page_wins_and_stays_inside(spark):
     assert [(r.local_path, r.path) for r in names.collect()] == [("a/index.html", "/a/")]
     assert [r.text for r in clone_files(pages, names).collect()] == ["second"]
     assert [r.path for r in clone_warnings(pages).collect()] == ["/../up.css"]
+
+
+def test_one_text_for_each_cloned_file(spark):
+    pages = spark.createDataFrame([("d", "/a", 2, "new"), ("d", "/a", 1, "old"), ("d", "/a", None, "none")], "domain string, path string, page_id long, text string")
+    names = spark.createDataFrame([("d", "a/index.html", "/a", 3)], "domain string, local_path string, path string, crawl_rank int")
+    assert [r.text for r in clone_files(pages, names).collect()] == ["old"]
+
+
+def test_no_local_folder_on_a_cluster():
+    import pytest
+
+    from sitespec.schemas import shared_folder
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
