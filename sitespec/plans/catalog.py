@@ -30,12 +30,17 @@ from sitespec.sources import derived
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_pages(spark, f"{sf_dir}/pages.parquet")
+    # The test tables are files of one split each.
+    return load_pages(spark, f"{sf_dir}/pages.parquet", partitions=_tasks(spark))
 
 
 def _site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_pages(spread(derived.site_pages(spark, sf_dir)))
+    return as_pages(spread(derived.site_pages(spark, sf_dir), _tasks(spark)))
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:

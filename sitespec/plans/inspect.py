@@ -15,8 +15,8 @@ from sitespec.operators.pages import explode_calls, explode_links, page_facts, u
 from sitespec.operators.routes import routes, summary, tree_lines
 from sitespec.plans.settings import PROFILES, page_budget, stages
 from sitespec.schemas import materialize
-from sitespec.sinks.clone import clone_manifest, clone_warnings
-from sitespec.sinks.documents import api_spec_lines, explorer_lines, report_lines
+from sitespec.sinks.clone import clone_files, clone_manifest, clone_warnings
+from sitespec.sinks.documents import REPORTS, api_spec_lines, explorer_lines, report_lines
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,8 @@ class Result:
     summary: DataFrame
     endpoints: DataFrame | None = None
     routes: DataFrame | None = None
+    #: Tables without rows, which a report shows for what was not asked for.
+    nothing: tuple[DataFrame, DataFrame] | None = None
 
     @property
     def domains(self) -> DataFrame:
@@ -53,9 +55,17 @@ class Result:
         return clone_manifest(self.pages)
 
     def report(self, fmt: str = "json") -> DataFrame:
-        table = self._need("routes", "routes")
-        found = self._need("endpoints", "api")
-        return report_lines(fmt, self.summary, found, table, self.explorer_visual(), self.warnings, self.actions_run)
+        """The report of whatever was asked for; parts that were not stay empty."""
+        if fmt not in REPORTS:
+            raise ValueError(f"unknown report format {fmt!r}; known: {sorted(REPORTS)}")
+        found = self.endpoints if self.endpoints is not None else self.nothing[0]
+        table = self.routes if self.routes is not None else self.nothing[1]
+        tree = tree_lines(self.domains, table) if fmt == "json" else None
+        return report_lines(fmt, self.summary, found, table, tree, self.warnings, self.actions_run)
+
+    def clone(self, pages: DataFrame) -> DataFrame:
+        """The files of the clone, (domain, path, local_path, text); ``pages`` are the snapshots of the run."""
+        return clone_files(pages, self.manifest())
 
     def _need(self, name: str, action: str) -> DataFrame:
         frame = getattr(self, name)
@@ -107,6 +117,8 @@ def inspect(
         warnings.append(verify_warnings(found))
         if "routes" in run:
             table = routes(crawled, found)
+    none = endpoints(api_candidates(explode_calls(crawled.filter(F.lit(False)))))
+    nothing = (none, routes(crawled.filter(F.lit(False)), none))
     noted = reduce(DataFrame.unionByName, warnings)
     counts = summary(
         crawled, found if found is not None else _no_endpoints(crawled), noted, facts.select("domain").distinct()
@@ -125,6 +137,7 @@ def inspect(
         summary=counts,
         endpoints=found,
         routes=table,
+        nothing=nothing,
     )
 
 

@@ -41,19 +41,18 @@ def as_pages(df: DataFrame) -> DataFrame:
     )
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread the rows of a scan that has few partitions for the cores of the cluster.
+def spread(scan: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal the rows of a scan out to ``partitions`` tasks; without a number the scan stays as it is.
 
-    Parsing is the costly part, and a small file is one partition. A scan of many
-    files is left as it is: page texts are never shuffled then.
+    Parsing is the costly part, and a small file that can't be split is one task. A number shuffles the page texts
+    once; scans of many splits (``spark.sql.files.maxPartitionBytes``) don't need one.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < 2 * cores else scan
+    return scan if partitions is None else scan.repartition(partitions)
 
 
-def load_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Page snapshots from a folder of files."""
-    return as_pages(spread(spark.read.format(fmt).load(path)))
+def load_pages(spark: SparkSession, path: str, fmt: str = "parquet", partitions: int | None = None) -> DataFrame:
+    """Page snapshots from a folder of files; see ``spread`` for ``partitions``."""
+    return as_pages(spread(spark.read.format(fmt).load(path), partitions))
 
 
 def load_responses(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

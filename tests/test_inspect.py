@@ -115,3 +115,19 @@ def test_plans_stay_in_the_jvm(spark, sf_dir):
     # A count of pages reads neither text nor URL beyond the key.
     plan = P.page_kinds(pages).select("page_id")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<page_id:bigint>" in plan
+
+
+def test_report_of_any_actions(spark):
+    import pytest
+
+    from sitespec import as_pages, inspect
+
+    rows = [("d", "/", "<title>t</title><a href='/a'>x</a>"), ("d", "/a", "<p>a</p>")]
+    pages = as_pages(spark.createDataFrame(rows, "domain string, path string, text string"))
+    for actions in ("cloning", ["html"]):
+        result = inspect(pages, actions=actions)
+        assert any("# Inspection Report" in r.line for r in result.report("markdown").collect())
+        with pytest.raises(ValueError, match="unknown report format"):
+            result.report("xml")
+    assert sorted((r.local_path, r.text) for r in result.clone(pages).collect()) == [("a/index.html", "<p>a</p>"), ("index.html", rows[0][2])]
+    assert result.report("json").count() > 3
