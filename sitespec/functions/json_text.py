@@ -67,20 +67,49 @@ def mock_payload(method: Column, keys: Column) -> Column:
     return F.when(F.upper(method) == "POST", body).otherwise(F.lit("{}"))
 
 
+#: A quoted string, or (outside of one) white space.
+_STRING, _BLANKS = r'"(?:[^"\\]++|\\.)*+"', r"[ \t\r\n]++"
+#: JSON as it is defined: double quotes only.
+_STRICT = {"allowSingleQuotes": "false", "allowUnquotedControlChars": "true", "mode": "PERMISSIVE"}
+
+
+def compact_json(text: Column) -> Column:
+    """The same JSON text without white space between its parts; every value stays as it was written."""
+    return F.regexp_replace(text, f"({_STRING})|{_BLANKS}", "$1")
+
+
+def _is_json(text: Column) -> Column:
+    """True for exactly one JSON value, of any length.
+
+    A text that closes both an array and an object around it early would be no value in one of the two.
+    """
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _STRICT)
+    member = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "struct<v:string>", _STRICT)["v"]
+    return F.coalesce(F.size(listed) == 1, F.lit(False)) & (member.isNotNull() | (text == "null"))
+
+
+def _first_element(text: Column) -> Column:
+    """First element of a compact list as JSON text; NULL for an empty list and for anything else.
+
+    Strings, numbers and literals stay as written; in an object or a list, numbers beyond double precision are
+    written anew.
+    """
+    string = F.regexp_extract(text, rf'^\[({_STRING}|[^\[\]{{}},"]++)', 1)
+    other = F.get(F.from_json(text, "array<string>", _STRICT), F.lit(0))
+    return F.when(F.startswith(text, F.lit("[")) & (text != "[]"), F.when(string != "", string).otherwise(F.coalesce(other, F.lit("null"))))
+
+
 def response_sample(content_type: Column, body: Column) -> Column:
     """What is kept of a response, as JSON text.
 
-    JSON: the first element of a list that is not empty, else the document.
-    Broken JSON: a fixed error object. Other types: the first 200 characters.
+    JSON: the first element of a list that is not empty, else the document, in its own words (repeated names, the
+    digits of numbers) but for the white space between them. Broken JSON: a fixed error object. Other types: the
+    first 200 characters. No length makes a difference.
     """
     is_json = F.contains(content_type, F.lit("application/json")) | F.contains(content_type, F.lit("text/json"))
     parsed = let(
-        F.try_parse_json(body),
-        lambda v: F.coalesce(
-            F.to_json(F.try_variant_get(v, "$[0]", "variant")),
-            F.to_json(v),
-            F.lit(BROKEN_JSON),
-        ),
+        compact_json(body),
+        lambda text: F.when(_is_json(text), F.coalesce(_first_element(text), text)).when(body.isNotNull(), F.lit(BROKEN_JSON)),
     )
     plain = json_object(("raw_non_json_sample", json_text(F.substring(body, 1, 200))))
     return F.when(is_json, parsed).otherwise(plain)

@@ -244,3 +244,17 @@ def test_scripts_with_many_calls_and_keys(spark):
 
     seconds(10)
     assert seconds(800) < 60
+
+
+def test_samples_keep_the_documents_own_values(spark):
+    from pyspark.sql import functions as F
+
+    rows = [
+        ('{"a":1, "a":2}', '{"a":1,"a":2}'), ('{"x": 1.0, "y": 1e400, "z": 12345678901234567890123456789}', '{"x":1.0,"y":1e400,"z":12345678901234567890123456789}'),
+        ('["s t", 2]', '"s t"'), ("[2.50]", "2.50"), ("[null]", "null"), ("{'a':1}", J.BROKEN_JSON), ("1] [2", J.BROKEN_JSON), ('{"a":1} x', J.BROKEN_JSON),
+    ]
+    df = spark.createDataFrame(rows, "body string, want string")
+    got = df.select("body", "want", J.response_sample(F.lit("text/json"), F.col("body")).alias("got"))
+    assert [r for r in got.collect() if r.got != r.want] == []
+    long = spark.range(1).select(F.concat(F.lit('{"a":"'), F.repeat(F.lit("x"), 20_500_000), F.lit('"}')).alias("b"))
+    assert long.select(F.length(J.response_sample(F.lit("text/json"), F.col("b"))).alias("n")).first().n == 20_500_008
