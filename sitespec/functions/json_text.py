@@ -69,8 +69,11 @@ def mock_payload(method: Column, keys: Column) -> Column:
 
 #: A quoted string, or (outside of one) white space.
 _STRING, _BLANKS = r'"(?:[^"\\]++|\\.)*+"', r"[ \t\r\n]++"
-#: JSON as it is defined: double quotes only.
-_STRICT = {"allowSingleQuotes": "false", "allowUnquotedControlChars": "true", "mode": "PERMISSIVE"}
+#: JSON as it is defined: double quotes only, strings and numbers of any length.
+_STRICT = {
+    "allowSingleQuotes": "false", "allowUnquotedControlChars": "true", "mode": "PERMISSIVE",
+    "maxStringLen": str(2**31 - 1), "maxNumLen": str(2**31 - 1),
+}
 
 
 def compact_json(text: Column) -> Column:
