@@ -249,6 +249,11 @@ def crawl_skipped(spark, sf_dir):
     return crawling.crawl(_linked(spark, sf_dir)).skipped.select("domain", "path", "depth", "status_code")
 
 
+def crawl_skipped_budget(spark, sf_dir):
+    found = crawling.crawl(_linked(spark, sf_dir), max_page=20)
+    return found.skipped.select("domain", "path", "depth", "status_code")
+
+
 # Sites --------------------------------------------------------------------
 
 
@@ -346,6 +351,7 @@ QUERIES: dict[str, Query] = {
     "crawl_budget": _crawl(max_page=100),
     "crawl_depth": _crawl(max_depth=3),
     "crawl_skipped": crawl_skipped,
+    "crawl_skipped_budget": crawl_skipped_budget,
     "all_routes": all_routes,
     "explorer_tree": explorer_tree,
     "explorer_json": explorer_json,

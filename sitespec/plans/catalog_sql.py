@@ -489,6 +489,12 @@ CAST(score AS INT) AS score FROM verified""",
     "crawl_skipped": CRAWL
     + """SELECT w.domain, w.path, CAST(w.depth AS INT) AS depth, CAST(u.status_code AS INT) AS status_code FROM walked w
 LEFT JOIN up u ON u.domain = w.domain AND u.path = w.path WHERE coalesce(u.status_code, 0) <> 200""",
+    "crawl_skipped_budget": CRAWL
+    + """SELECT w.domain, w.path, CAST(w.depth AS INT) AS depth, CAST(u.status_code AS INT) AS status_code FROM walked w
+LEFT JOIN up u ON u.domain = w.domain AND u.path = w.path
+LEFT JOIN (SELECT domain, depth AS last_depth, path AS last_path FROM crawl WHERE crawl_rank = 20) f ON f.domain = w.domain
+WHERE coalesce(u.status_code, 0) <> 200
+  AND (f.domain IS NULL OR w.depth < f.last_depth OR (w.depth = f.last_depth AND w.path < f.last_path))""",
     "all_routes": ROUTED + "SELECT domain, path, file, type, format, title, ordinal FROM routes",
     "explorer_tree": with_(SITE, JS, call_ctes("js"), ENDPOINTS, SITE_ROUTES, TREE)
     + "SELECT domain, CAST(section AS INT) AS section, CAST(line_no AS BIGINT) AS line_no, line FROM tree",
