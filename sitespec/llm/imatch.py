@@ -16,6 +16,8 @@ WIDTHS = [width for count, width in SUBSETS for _ in range(count)]
 #: Lexicons up to this many rows are broadcast (24 bytes a row); larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 KEY = ["key_id", "key_text"]
+#: Stands for a missing doc_id.
+NO_ID = -(2**63)
 
 
 def terms(text: Column) -> Column:
@@ -42,12 +44,17 @@ def lexicon(texts: DataFrame, least: float = LEAST_IDF, most: float = MOST_IDF)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Rows (key_id, key_text, doc_id, text, n_chars): NULL texts are empty; rows of one id are told apart by text."""
+    """Rows (key_id, key_text, text): NULL texts are empty; rows of one id are told apart by text.
+
+    These columns and no others, so that the one shuffle of the texts serves every place that needs them.
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select(
-        F.coalesce("doc_id", F.lit(-(2**63))).alias("key_id"), F.xxhash64("text").alias("key_text"), "doc_id", "text",
-        F.char_length("text").cast("long").alias("n_chars"),
-    )
+    return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key_id"), F.xxhash64("text").alias("key_text"), "text")
+
+
+def n_chars() -> Column:
+    """Code points of the text."""
+    return F.char_length("text").cast("long")
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -55,7 +62,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
     The order is that of a range sort over narrow rows: no window gathers them in one task.
     """
-    narrow = keyed(docs).select(*KEY, "n_chars").distinct().withColumn("_all", F.lit(0))
+    narrow = keyed(docs).select(*KEY, n_chars().alias("n_chars")).distinct().withColumn("_all", F.lit(0))
     ranked = materialize(number_within(narrow, ["_all"], KEY, "rank", "_n").drop("_all"), "ranks")
     following = ranked.select(F.col("key_id").alias("next_id"), F.col("key_text").alias("next_text"), "rank")
     follows = F.when(F.col("rank") == F.col("_n"), F.lit(1)).otherwise(F.col("rank") + 1)
@@ -77,7 +84,7 @@ def edited_texts(docs: DataFrame, order: DataFrame) -> DataFrame:
         F.col("to_id").alias("key_id"), F.col("to_text").alias("key_text"), F.substring("text", F.lit(1), F.col("need")).alias("piece")
     )
     pieces = pieces.dropDuplicates(KEY)
-    stays = F.substring("text", F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int"))
+    stays = F.substring("text", F.lit(1), (n_chars() - F.floor(n_chars() / 4)).cast("int"))
     return rows.join(pieces, KEY).withColumn("edited", F.concat(stays, "piece")).drop("piece")
 
 
@@ -128,7 +135,8 @@ def fingerprints(docs: DataFrame, least: float = LEAST_IDF, most: float = MOST_I
     order = neighbours(docs)
     both = edited_texts(docs, order)
     prints = hashed(both.select(*KEY, F.array("text", "edited").alias("versions")), kept)
-    facts = both.select(*KEY, "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("edited").alias("_edited"))
+    doc_id = F.nullif(F.col("key_id"), F.lit(NO_ID)).alias("doc_id")
+    facts = both.select(*KEY, doc_id, n_chars().alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("edited").alias("_edited"))
     made = facts.join(prints, KEY, "left").select(
         *KEY, "doc_id", "n_chars", "edited_sha256", _print(0, F.col("key_text")).alias("fingerprint"), _print(1, F.col("_edited")).alias("edited_fingerprint")
     )
