@@ -53,13 +53,15 @@ class Finder:
 
     def __init__(self, phrases: tuple, notices: tuple, chars_per_edit: int):
         self.phrases = [(f" {p} ", label) for p, label in phrases]
-        self.notices = []
+        self.notices, self.halves = [], []
         self.seeds = ahocorasick.Automaton()
         wanted: dict[str, list[tuple[int, int]]] = {}
         for number, (notice, label) in enumerate(notices):
             edits = edits_allowed(notice, chars_per_edit)
             fuzzy = regex.compile(f"(?e)(?:{regex.escape(notice)}){{e<={edits}}}")
+            halves = [piece for _, piece in seeds(notice, 2 * edits + 1)]
             self.notices.append((notice, label, edits, fuzzy))
+            self.halves.append(halves)
             for offset, piece in seeds(notice, edits):
                 wanted.setdefault(piece, []).append((number, offset))
         for piece, places in wanted.items():
@@ -106,15 +108,19 @@ class Finder:
                 at = padded.find(phrase, at + 1)
         found = []
         for number, runs in self.windows(words).items():
-            notice, label, _, fuzzy = self.notices[number]
+            notice, label, edits, fuzzy = self.notices[number]
             for low, high in runs:
+                # Pigeonhole once more: of 2 * edits + 2 pieces, edits + 2 at least stay as they are.
+                window = words[low:high]
+                if sum(piece in window for piece in self.halves[number]) < edits + 2:
+                    continue
                 at = low
                 while (m := fuzzy.search(words, at, high)) is not None:
-                    edits = sum(m.fuzzy_counts)
+                    made = sum(m.fuzzy_counts)
                     found.append(
                         {
                             "label": label, "start": words.count(" ", 0, m.start()), "end": words.count(" ", 0, m.end()) + 1,
-                            "edits": edits, "score": 1 - edits / len(notice),
+                            "edits": made, "score": 1 - made / len(notice),
                         }
                     )
                     at = max(m.end(), at + 1)

@@ -37,7 +37,7 @@ def corpus():
         "", None, "...", "CC-BY", "cc by cc by", "All rights  reserved. ALL RIGHTS\nRESERVED", "x" * 100_000,
         "licence: GNU General Public License v3", "accby cc bye", "éall rights reserved", "Ⱥ cc by",
     ]
-    for _ in range(150):
+    for _ in range(30):
         text = list(" ".join(chance.choices(filler, k=chance.randrange(3, 20))))
         notice = list(chance.choice(NOTICES)[0])
         for _ in range(chance.randrange(0, 9)):
