@@ -85,38 +85,45 @@ def fit_classifier(texts: list[str | None], labels: list[str], epochs: int = EPO
     return model
 
 
-def learn_domains(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Classifier:
-    """Train on at most ``sample_docs`` rows of ``labelled`` (doc_id, text, domain); a documented bound.
+def learn_domains(texts: DataFrame, domains: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Classifier:
+    """Train on at most ``sample_docs`` documents of ``texts`` (doc_id, text) with a row in ``domains`` (doc_id, domain).
 
-    Rows without id or domain are left out; without any row left, there is one domain, ``all``.
+    The bound is a documented parameter; the documents are the first in the order of a hash of their id. Rows
+    without id or domain are left out; without any row left, there is one domain, ``all``. Ids are matched before
+    any text is read, so no text is shuffled.
     """
-    usable = labelled.filter("doc_id is not null and domain is not null")
-    chosen = usable.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    # At most sample_docs ids: a broadcast of a known size.
-    rows = usable.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "domain").collect()
+    usable = domains.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
+    usable = usable.join(texts.select("doc_id"), "doc_id", "left_semi")
+    # At most sample_docs rows: a broadcast of a known size.
+    chosen = F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
+    rows = texts.select("doc_id", "text").join(chosen, "doc_id").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["domain"], r["text"] or ""))
     if not rows:
         return Classifier(["all"], np.zeros((HASHED, 1), np.float32), np.zeros((FIGURES, 1), np.float32))
     return fit_classifier([r["text"] for r in rows], [r["domain"] for r in rows])
 
 
-def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
-    """(doc_id, tokens long, posterior array<double>) of ``docs`` (doc_id, text), in the order of ``model.domains``."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+def membership(text: Column, model: Classifier) -> Column:
+    """struct(tokens long, posterior array<double>) of a whole text, in the order of ``model.domains``."""
+    kind = pa.struct([("tokens", pa.int64()), ("posterior", pa.list_(pa.float64()))])
+
+    def run(texts: pa.Array) -> pa.Array:
+        tokens, rows = [], []
+        for value in texts:
+            n, words, figures = features(value.as_py())
+            tokens.append(n)
+            rows.append(model.posterior(words, figures).astype(np.float64))
+        offsets = np.arange(len(rows) + 1, dtype=np.int32) * len(model.domains)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.empty(0)))
+        return pa.StructArray.from_arrays([pa.array(tokens, pa.int64()), lists], fields=list(kind))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, rows = [], []
-            for text in batch.column(1):
-                n, words, figures = features(text.as_py())
-                tokens.append(n)
-                rows.append(shipped.value.posterior(words, figures).astype(np.float64))
-            offsets = np.arange(len(rows) + 1, dtype=np.int32) * len(shipped.value.domains)
-            values = np.concatenate(rows) if rows else np.empty(0)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), lists], ["doc_id", "tokens", "posterior"])
+    return F.arrow_udf(run, "struct<tokens:bigint,posterior:array<double>>")(text)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens long, posterior array<double>")
+
+def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
+    """(doc_id, tokens, posterior) of ``docs`` (doc_id, text); the narrow table that the fit goes over."""
+    found = docs.select("doc_id", membership(F.col("text"), model).alias("_m"))
+    return found.select("doc_id", "_m.tokens", "_m.posterior")
 
 
 def _rate(steps: list[np.ndarray], lower: float) -> Column:
@@ -176,24 +183,32 @@ def fit_rates(members: DataFrame, weights: np.ndarray, lower: float = 0.0, budge
     return _rate(steps, lower), report
 
 
-def mixing_rates(
-    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], lower: float = 0.0,
-    budget: float | None = None, sample_docs: int = SAMPLE_DOCS,
-) -> tuple[DataFrame, dict]:
-    """((doc_id, tokens, domain, p_domain, rate), report) of ``docs`` (doc_id, text).
-
-    ``labelled`` (doc_id, text, domain) teaches the classifier; ``weights`` are shares by domain, 0 where a domain
-    is not named (if none of the learned domains is named, all are equal). ``domain`` is the likeliest one. NULL
-    and empty texts have no tokens and keep the rate 1 (or the lower bound, if that is more). Rows stay as they
-    are, repeated ones and NULL ids included; other columns are not looked at.
-    """
-    model = learn_domains(labelled, sample_docs)
+def _fit(
+    docs: DataFrame, domains: DataFrame, weights: dict[str, float], lower: float, budget: float | None,
+    sample_docs: int, texts: DataFrame | None,
+) -> tuple[Classifier, DataFrame, Column, dict]:
+    model = learn_domains(docs if texts is None else texts, domains, sample_docs)
     wanted = np.array([float(weights.get(d, 0.0)) for d in model.domains])
     if not wanted.sum():
         wanted[:] = 1.0
     members = materialize(memberships(docs, model), "memberships")
     rate, report = fit_rates(members, wanted, lower, budget)
-    report["domains"] = model.domains
+    return model, members, rate, report | {"domains": model.domains}
+
+
+def mixing_rates(
+    docs: DataFrame, domains: DataFrame, weights: dict[str, float], lower: float = 0.0,
+    budget: float | None = None, sample_docs: int = SAMPLE_DOCS, texts: DataFrame | None = None,
+) -> tuple[DataFrame, dict]:
+    """((doc_id, tokens, domain, p_domain, rate), report) of ``docs`` (doc_id, text).
+
+    ``domains`` (doc_id, domain) labels some documents of ``texts`` (by default ``docs``), from which the
+    classifier is learned; ``weights`` are shares by domain, 0 where a domain is not named (if none of the learned
+    domains is named, all are equal). ``domain`` is the likeliest one. NULL and empty texts have no tokens and keep
+    the rate 1 (or the lower bound, if that is more). Rows stay as they are, repeated ones and NULL ids included;
+    other columns are not looked at.
+    """
+    model, members, rate, report = _fit(docs, domains, weights, lower, budget, sample_docs, texts)
     best = F.array_max("posterior")
     names = F.array(*(F.lit(d) for d in model.domains))
     out = members.select(
@@ -208,21 +223,22 @@ def copies(rate: Column, *key: Column | str) -> Column:
     return (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def mixed_documents(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], lower: float = 0.0) -> DataFrame:
-    """``docs`` with each row as often as its rate says; the columns stay. Rows without doc_id stay once.
+def mixed_documents(docs: DataFrame, domains: DataFrame, weights: dict[str, float], lower: float = 0.0) -> DataFrame:
+    """``docs`` with each row as often as its rate says; the columns stay. See ``mixing_rates``.
 
-    Rates are fitted per row and joined by doc_id; rows that share a doc_id take the largest of their rates.
+    A row's rate follows from its own text and the few numbers of the fit, so it is computed in place: no text is
+    shuffled. The part of a rate beyond a whole number is drawn by a hash of doc_id.
     """
-    rates, _ = mixing_rates(docs, labelled, weights, lower)
-    rates = rates.filter("doc_id is not null").groupBy("doc_id").agg(F.max("rate").alias("_rate"))
-    uses = F.coalesce(copies(F.col("_rate"), "doc_id"), F.lit(1))
-    rows = docs.join(rates, "doc_id", "left").withColumn("_uses", uses).filter("_uses > 0")
-    return rows.withColumn("_use", F.explode(F.sequence(F.lit(1), "_uses"))).select(*docs.columns)
+    model, _, rate, _ = _fit(docs, domains, weights, lower, None, SAMPLE_DOCS, None)
+    # Names of their own, so that columns of docs with the fit's names are left alone.
+    kept = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), membership(F.col("text"), model).alias("m"))
+    uses = kept.select("row", F.col("m.tokens").alias("tokens"), F.col("m.posterior").alias("posterior"))
+    uses = uses.select("row", copies(rate, "row.doc_id").alias("n")).filter("n > 0")
+    return uses.select("row", F.explode(F.sequence(F.lit(1), "n"))).select("row.*")
 
 
-def domains_of(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, domain): labelled documents, with quality and toxicity as the domain (``q1t0`` and so on)."""
-    named = labels.filter("quality is not null and toxic is not null").select(
+def domains_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of ``labels``, with quality and toxicity as the domain (``q1t0`` and so on)."""
+    return labels.filter("quality is not null and toxic is not null").select(
         "doc_id", F.concat(F.lit("q"), F.col("quality").cast("string"), F.lit("t"), F.col("toxic").cast("string")).alias("domain")
     )
-    return documents.select("doc_id", "text").join(named, "doc_id")

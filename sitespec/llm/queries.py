@@ -87,8 +87,7 @@ WEIGHTS = {"q1t0": 0.8, "q0t0": 0.145, "q1t1": 0.05, "q0t1": 0.005}
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of all documents that bring the domains learned from ``labels`` to their shares."""
-    documents = table(spark, sf_dir, "documents")
-    return mixing_rates(documents, domains_of(documents, table(spark, sf_dir, "labels")), WEIGHTS)[0]
+    return mixing_rates(table(spark, sf_dir, "documents"), domains_of(table(spark, sf_dir, "labels")), WEIGHTS)[0]
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,14 +42,14 @@ def test_classifier_learns_words():
 
 def test_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labelled = domains_of(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    labelled = domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rates, report = mixing_rates(docs, labelled, {"q1t0": 0.7, "q0t0": 0.3})
     assert rates.count() == docs.count() and report["domains"] == sorted(report["domains"])
     assert rates.filter("rate < 0 or rate is null or p_domain > 1").count() == 0
     rows = [(1, None, "x", 0, "d"), (1, None, "x", 0, "d"), (None, "a b", "x", 0, "d"), (3, "w " * 50_000, "x", 0, "d"), (4, "", "x", 0, "d")]
     odd = spark.createDataFrame(rows, SCHEMA)
     got = mixed_documents(odd, labelled, {"q1t0": 1.0}, lower=1.0)
-    assert got.schema == odd.schema and {r.doc_id for r in got.collect()} == {1, None, 3, 4}
+    assert got.columns == odd.columns and {r.doc_id for r in got.collect()} == {1, None, 3, 4}
     assert mixed_documents(odd.limit(0), labelled, {}).collect() == []
     none = mixing_rates(odd, labelled.limit(0), {})[0].collect()
     assert len(none) == 5 and all(r.domain == "all" and abs(r.rate - 1) < 1e-9 for r in none)

@@ -26,7 +26,7 @@ def test_stages(spark, sf_dir):
     assert text[10_004] == "<secret> and the rest of the words"
     assert sorted(set(ids["mixing"])) == ids["secret scans"]
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rates = {r.doc_id: r.rate for r in mixing_rates(seen["mixing"][0], domains_of(seen["mixing"][0], labels), corpus_pipeline.WEIGHTS, 1.0)[0].collect()}
+    rates = {r.doc_id: r.rate for r in mixing_rates(seen["mixing"][0], domains_of(labels), corpus_pipeline.WEIGHTS, 1.0)[0].collect()}
     assert all(abs(ids["mixing"].count(k) - r) < 1 for k, r in rates.items())
     assert ids["SentencePiece"] == ids["mixing"]
 
