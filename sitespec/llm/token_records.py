@@ -15,6 +15,7 @@ it a reader fetches any record by itself, in any order. Ids take two bytes where
 from __future__ import annotations
 
 import bisect
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -81,6 +82,8 @@ class WordEncoder:
     def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
+        # A task has its own core: the library's idle threads would only take time and memory from others.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         with open(path, encoding="utf-8") as file:
             self.tokenizer = Tokenizer.from_str(file.read())
         largest = self.tokenizer.get_vocab_size(with_added_tokens=True)
