@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitespec.llm.byte_cnn import UNDETERMINED, language_of, learn_languages
-from sitespec.llm.common import materialize, table
+from sitespec.llm.common import materialize, table, text_batches
 from sitespec.llm.minmax_dedup import without_near_duplicates
 from sitespec.llm.mixing import domains_of, mixed_documents
 from sitespec.llm.pieces import encode_pieces
@@ -26,6 +26,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     NULL texts and texts without a letter go, and those that the network is unsure of. All columns stay.
     """
+    text_batches(spark)
     found = docs.withColumn("_found", language_of(F.col("text"), learn_languages(docs)))
     sure = (F.col("_found.lang") != UNDETERMINED) & (F.col("_found.score") >= LEAST_SCORE)
     return found.filter(sure).withColumn("lang", F.col("_found.lang")).select(*docs.columns)
@@ -33,11 +34,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8), the one with the smallest id."""
+    text_batches(spark)
     return without_near_duplicates(docs, percent=80, width=5)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with the secrets in its text replaced and ``n_chars`` counted anew."""
+    text_batches(spark)
     return redact_secrets(docs)
 
 
@@ -47,11 +50,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The lower bound of 1 leaves no clean document out: shares are reached by repeating documents of the domains
     that are short.
     """
-    return mixed_documents(docs, domains_of(docs, table(spark, sf_dir, "labels")), WEIGHTS, lower=1.0)
+    return mixed_documents(docs, domains_of(table(spark, sf_dir, "labels")), WEIGHTS, lower=1.0)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_pieces) of every row."""
+    text_batches(spark)
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -9,11 +9,21 @@ from pyspark.sql import functions as F
 
 from sitespec.schemas import materialize, shared_folder
 
-__all__ = ["fresh_folder", "materialize", "nonce", "shared_folder", "table", "whole_text"]
+__all__ = ["fresh_folder", "materialize", "nonce", "shared_folder", "table", "text_batches", "whole_text"]
+
+
+#: Rows that go to a Python worker at a time; whole texts can be long, so these are fewer than Spark's default.
+BATCH_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let tasks hand whole texts to Python in small batches; a setting of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
+    """One of the given tables, with small batches for what runs over it."""
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

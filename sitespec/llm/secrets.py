@@ -241,31 +241,27 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return docs.select("doc_id", secret_spans(F.col("text"), rules).alias("spans"))
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with each run of overlapping spans replaced by ``<secret>``; NULL stays NULL."""
-
-    def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for value, places in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-            if value is not None and places:
-                parts, at = [], 0
-                for place in places:
-                    if place["start"] >= at or not parts:
-                        parts += [value[at : place["start"]], "<secret>"]
-                    at = max(at, place["end"])
-                value = "".join([*parts, value[at:]])
-            out.append(value)
+def redacted(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The text with each run of overlapping secrets replaced by ``<secret>``; NULL where there is nothing to replace."""
+
+    def cut(texts: pa.Array) -> pa.Array:
+        values, out = texts.to_pylist(), []
+        for value, places in zip(values, _scanner(rules).scan(values), strict=True):
+            parts, at = [], 0
+            for _, start, end in places:
+                if start >= at or not parts:
+                    parts += [value[at:start], "<secret>"]
+                at = max(at, end)
+            out.append("".join([*parts, value[at:]]) if parts else None)
         return pa.array(out, pa.string())
 
-    return F.arrow_udf(cut, "string")(text, spans)
+    return F.arrow_udf(cut, "string")(text)
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with the secrets of ``text`` replaced; all rows and columns stay, ``n_chars`` follows where there is one."""
-    spans = docs.withColumn("_secret_spans", secret_spans(F.col("text"), rules))
-    out = spans.withColumn(
-        "text", F.when(F.size("_secret_spans") > 0, redacted(F.col("text"), F.col("_secret_spans"))).otherwise(F.col("text"))
-    )
+    out = docs.withColumn("_redacted", redacted(F.col("text"), rules))
+    out = out.withColumn("text", F.coalesce("_redacted", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
