@@ -178,8 +178,12 @@ def language_of(text: Column, net: Network | None) -> Column:
     """
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 
+    made: list[Predictor] = []  # the tables are made once a task, not for each of its batches
+
     def predict(texts: pa.Array) -> pa.Array:
-        predictor = Predictor(net) if net else None
+        if net and not made:
+            made.append(Predictor(net))
+        predictor = made[0] if made else None
         out = []
         for low in range(0, len(texts), 256):
             part = texts.slice(low, 256).to_pylist()
