@@ -149,7 +149,7 @@ def _links_of(percent: int):
 
 
 def _promising_of(percent: int):
-    """For a group with two sides: the members of pairs whose sketches agree enough, and share no earlier band."""
+    """For a group with two sides: the members of pairs whose sketches agree enough, and share no earlier bucket."""
     values = BANDS * ROWS
     p = percent / 100
     least = p * values - DEVIATIONS * (p * (1 - p) * values) ** 0.5
@@ -161,10 +161,12 @@ def _promising_of(percent: int):
         keep = np.zeros(len(ids), bool)
         if len(left) and len(right):
             band = table.column("band")[0].as_py()
+            bands = np.array(table.column("bands").to_pylist())[:, :band]
             same = sketch[left][:, None] == sketch[right]
             ratio = np.minimum(sizes[left][:, None], sizes[right]) * 100 >= percent * np.maximum(sizes[left][:, None], sizes[right])
             pairs = (same.sum(axis=(2, 3)) >= least) & ratio & (labels[left][:, None] != labels[right])
-            pairs &= ~same[:, :, :band].all(axis=3).any(axis=2)
+            # Whole keys decide: sketches may agree in a band whose values differ, and then the pair never met there.
+            pairs &= ~(bands[left][:, None] == bands[right]).any(axis=2)
             keep[left], keep[right] = pairs.any(axis=1), pairs.any(axis=0)
         return table.select(["key", "i", "j", "side", "id", "label"]).filter(pa.array(keep))
 
@@ -226,10 +228,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
     counts = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("other").alias("n_other"))
     counts = counts.filter("n_other > 0 and n_all > 1")
     open_rows = materialize(labelled.join(counts, "key").join(
-        holders.select(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "id"), "open")
+        holders.select(F.col("doc_id").alias("id"), "n_shingles", "bands", "sketch"), "id"), "open")
     other_blocks = F.sequence(F.lit(0), F.ceil(F.col("n_other") / BLOCK).cast("int") - 1)
     all_blocks = F.sequence(F.lit(0), F.ceil(F.col("n_all") / BLOCK).cast("int") - 1)
-    columns = ["key", "band", "i", "j", "side", "id", "label", "n_shingles", "sketch"]
+    columns = ["key", "band", "i", "j", "side", "id", "label", "n_shingles", "bands", "sketch"]
     left = open_rows.filter("other").withColumn("i", _blocks(F.col("n_other"), F.col("id"), BLOCK))
     left = left.withColumn("j", F.explode(all_blocks)).withColumn("side", F.lit(0)).select(columns)
     right = open_rows.withColumn("j", _blocks(F.col("n_all"), F.col("id"), BLOCK))

@@ -2,9 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from sitespec.llm.graph import components
-from sitespec.llm.minmax_dedup import BANDS, ROWS, band_keys, intersections, near_duplicates, signature, without_near_duplicates
+from sitespec.llm.minmax_dedup import BANDS, ROWS, _promising_of, band_keys, intersections, near_duplicates, signature, without_near_duplicates
 from sitespec.llm.shingles import PIECE, shingle_set, word_hashes
 
 SCHEMA = "doc_id long, text string, component_id int, key string"
@@ -69,6 +70,23 @@ def test_signature_and_sizes():
     assert got.tolist() == [[50, 0]]
 
 
+def test_pairs_that_only_seem_to_have_met_are_compared():
+    """Band 0 differs above the low byte alone, so its bucket was not shared; the pair meets in band 3 first."""
+    one = np.random.default_rng(3).integers(0, 2**32, (BANDS, ROWS), dtype=np.uint32)
+    other = one.copy()
+    other[0, 2] ^= 1 << 20
+    other[[1, 2], 0] ^= 1
+    values = [one, other]
+
+    def kept(band):
+        return _promising_of(85)(pa.table({
+            "key": [7, 7], "band": [band] * 2, "i": [0, 0], "j": [0, 0], "side": [0, 1], "id": [1, 2], "label": [1, 2], "n_shingles": [400, 400],
+            "bands": [band_keys(v).tolist() for v in values], "sketch": [v.astype(np.uint8).tobytes() for v in values],
+        })).num_rows
+
+    assert kept(3) == 2 and kept(4) == 0
+
+
 def test_same_as_all_pairs(spark):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 0, "k") for i, t in rows], SCHEMA).repartition(4)
