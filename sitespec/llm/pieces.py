@@ -196,8 +196,9 @@ def piece_round_trip(docs: DataFrame, model_path: str, every: int = 100, threads
     """(doc_id, n_pieces, ids_crc32, decoded_sha256, round_trip, parity): encode, decode, and verify whole texts.
 
     ``round_trip`` holds where the decoded text is the text (NULL read as empty); ``ids_crc32`` is over the ids as
-    little-endian unsigned 32-bit integers. For documents whose id is divisible by ``every``, ``parity`` says that
-    the original library gives the same ids and decodes them to the same text; else it is NULL.
+    little-endian unsigned 32-bit integers. ``parity`` says that the original library gives the same ids and decodes
+    them to the same text: with ``every`` 1 for each row, whatever its id; else for documents whose id is divisible
+    by ``every``, and NULL for the others.
     """
     import hashlib
 
@@ -216,8 +217,9 @@ def piece_round_trip(docs: DataFrame, model_path: str, every: int = 100, threads
                 for key, text, ids in zip(keys, texts, codec.encode(texts), strict=True):
                     decoded = codec.decode(ids)
                     parity = None
-                    if key is not None and key % every == 0:
-                        parity = original.encode(text) == ids.tolist() and original.decode(ids.tolist()) == decoded
+                    if every == 1 or (key is not None and key % every == 0):
+                        listed = ids.tolist()
+                        parity = original.encode(text) == listed and original.decode(listed) == decoded
                     digest = hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
                     rows.append((key, len(ids), zlib.crc32(ids.tobytes()), digest, decoded == text, parity))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())

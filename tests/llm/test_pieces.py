@@ -69,3 +69,12 @@ def test_tables(spark):
         text = next(t for i, t, *_ in rows if i == r.doc_id)
         assert r.ids == original.encode(text or "") and r.n_pieces == len(r.ids)
     assert piece_round_trip(docs.limit(0), PATH).collect() == []
+
+
+def test_each_row_of_the_query_is_checked(spark, tmp_path):
+    from sitespec.llm.queries import op10_sentencepiece
+
+    rows = [(7, "some text"), (7, "some text"), (None, "no id"), (None, None), (101, "  é\n "), (200, ""), (-3, "▁ <s>")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op10_sentencepiece(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.parity is True for r in got)
