@@ -4,12 +4,15 @@ A shard is a run of records; the ids of one document are one record:
 
     length   8 bytes, little-endian: bytes of the payload
     check    4 bytes: masked CRC-32 of the length bytes
-    payload  doc_id (8 bytes, signed), width of an id (1 byte: 2 or 4), the ids, little-endian
+    payload  doc_id (8 bytes, signed), width of an id (1 byte: 2 or 4, plus 128 where the row has no doc_id), the
+             ids, little-endian
     check    4 bytes: masked CRC-32 of the payload
 
 A checksum is masked (rotated right by 15 bits, plus a constant) so that records may hold checksummed records.
 The index ``<shard>.idx`` has one entry of 24 bytes a record: doc_id, offset of the record, number of ids; with
 it a reader fetches any record by itself, in any order. Ids take two bytes where the vocabulary allows it.
+Rows without doc_id come first; they hold the smallest number in its place, and their number of ids in the index is
+negative (a record has one id at least).
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ SHARD_BYTES = 64 << 20
 #: Words whose ids a task remembers; a full memory is emptied, which changes no result.
 MEMORY = 200_000
 _MASK = 0xA282EAD8
+#: What stands in the place of a missing doc_id, and the bit beside the width that says so.
+NO_ID, _NO_ID_FLAG = -(2**63), 128
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n_tokens", "<i8")])
 
 
@@ -44,15 +49,16 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + _MASK) & 0xFFFFFFFF
 
 
-def frame(doc_id: int, ids: np.ndarray) -> bytes:
+def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
     """One record."""
-    payload = struct.pack("<qB", doc_id, ids.dtype.itemsize) + ids.tobytes()
+    key, flag = (NO_ID, _NO_ID_FLAG) if doc_id is None else (doc_id, 0)
+    payload = struct.pack("<qB", key, ids.dtype.itemsize | flag) + ids.tobytes()
     length = struct.pack("<Q", len(payload))
     return length + struct.pack("<I", masked(length)) + payload + struct.pack("<I", masked(payload))
 
 
-def read_record(source, offset: int | None = None) -> tuple[int, np.ndarray] | None:
-    """The record at ``offset`` (else at the current place) as doc_id and ids; None at the end of the shard.
+def read_record(source, offset: int | None = None) -> tuple[int | None, np.ndarray] | None:
+    """The record at ``offset`` (else at the current place) as doc_id (or None) and ids; None at the end of the shard.
 
     Raises ValueError where a length or a checksum does not hold.
     """
@@ -68,7 +74,8 @@ def read_record(source, offset: int | None = None) -> tuple[int, np.ndarray] | N
     if len(body) < size + 4 or struct.unpack("<I", body[size:])[0] != masked(body[:size]):
         raise ValueError("damaged record")
     doc_id, width = struct.unpack("<qB", body[:9])
-    return doc_id, np.frombuffer(body[9:size], "<u2" if width == 2 else "<u4")
+    ids = np.frombuffer(body[9:size], "<u2" if width & ~_NO_ID_FLAG == 2 else "<u4")
+    return None if width & _NO_ID_FLAG else doc_id, ids
 
 
 class WordEncoder:
@@ -144,8 +151,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, shard_bytes
     shards of a part follow each other. A shard appears under its name only when it is complete, and each
     attempt of a task writes names of its own; the list names those of the attempt that counted, so a lost
     executor or a second attempt leaves no half-written or doubled shard behind in what is read.
-    NULL texts are empty, NULL ids are refused (they have no place in the order); rows with equal doc_id come
-    in the order of their texts.
+    NULL texts are empty; rows with equal doc_id come in the order of their texts. Rows without doc_id come first,
+    by a hash of their texts, so that many of them need not meet in one task; first_id is NULL where a shard begins
+    with one.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +171,13 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, shard_bytes
                 file.write(np.array(entries, INDEX).tobytes())
             for end_of in (".idx", ""):
                 store.move(f"{root}/{name}{end_of}.open", f"{root}/{name}{end_of}")
-            done.append((part, f"{folder}/{name}", len(entries), sum(e[2] for e in entries), entries[0][0]))
+            first = None if entries[0][2] < 0 else entries[0][0]
+            done.append((part, f"{folder}/{name}", len(entries), sum(abs(e[2]) for e in entries), first))
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for low in range(0, len(keys), 256):
                 for doc_id, ids in zip(keys[low : low + 256], encode(texts.slice(low, 256).to_pylist()), strict=True):
-                    if doc_id is None:
-                        raise ValueError("doc_id is NULL")
                     if out is not None and at >= shard_bytes:
                         close()
                         out, entries, at, shard = None, [], 0, shard + 1
@@ -179,7 +186,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, shard_bytes
                         out = store.open_output_stream(f"{root}/{name}.open")
                     record = frame(doc_id, np.concatenate([ids, end]))
                     out.write(record)
-                    entries.append((doc_id, at, len(ids) + 1))
+                    entries.append((NO_ID, at, -len(ids) - 1) if doc_id is None else (doc_id, at, len(ids) + 1))
                     at += len(record)
         if out is not None:
             close()
@@ -191,7 +198,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, shard_bytes
             )
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))]
+    ordered = texts.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     shards = ordered.mapInArrow(write, "part int, shard string, n_docs long, n_tokens long, first_id long")
     return materialize(shards, "shards")
 
@@ -215,15 +223,17 @@ def read_records(shards: DataFrame) -> DataFrame:
                     while (record := read_record(source)) is not None:
                         doc_id, ids = record
                         entry = index[len(rows)]
-                        if (doc_id, at, len(ids)) != (entry["doc_id"], entry["offset"], entry["n_tokens"]):
+                        held = (NO_ID, at, -len(ids)) if doc_id is None else (doc_id, at, len(ids))
+                        if held != (entry["doc_id"], entry["offset"], entry["n_tokens"]):
                             raise ValueError("the index does not fit the shard")
-                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        rows.append((held[0], start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         start += len(ids)
                         at += 12 + 9 + ids.nbytes + 4
                 if len(rows) != len(index):
                     raise ValueError("the index does not fit the shard")
                 columns = np.array(rows, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                keys = pa.array(columns[0], mask=index["n_tokens"] < 0)
+                yield pa.RecordBatch.from_arrays([keys, *map(pa.array, columns[1:])], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spark = shards.sparkSession
     # One row per shard of SHARD_BYTES: a 100 TB corpus has about a million, of some 100 bytes.
@@ -243,6 +253,7 @@ def fetch(shard: str, doc_ids: list[int]) -> dict[int, np.ndarray]:
     store, name = arrow_fs.FileSystem.from_uri(shard)
     with store.open_input_stream(f"{name}.idx") as file:
         index = np.frombuffer(file.read(), INDEX)
+    index = index[index["n_tokens"] > 0]
     keys, out = index["doc_id"].tolist(), {}
     with store.open_input_file(name) as source:
         for doc_id in doc_ids:
@@ -255,6 +266,8 @@ def fetch(shard: str, doc_ids: list[int]) -> dict[int, np.ndarray]:
 def token_records(docs: DataFrame, tokenizer_path: str, folder: str | None = None) -> DataFrame:
     """Encode, write and read back ``docs`` (doc_id long, text); see ``write_records`` and ``read_records``.
 
+    Rows without doc_id are records too, before all others, and are read back with NULL doc_id.
+
     An empty table gives no shard and no rows; empty and NULL texts are records that hold the end id alone;
     further columns are not looked at.
     """

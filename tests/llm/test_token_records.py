@@ -71,3 +71,20 @@ def test_damage_is_found():
             read_record(io.BytesIO(broken))
     with pytest.raises(ValueError):
         read_record(io.BytesIO(record[:-6]))
+
+
+def test_rows_without_id_come_first(spark, whole, tmp_path):
+    rows = [(None, "no id"), (None, None), (None, "no id"), (-(2**63), "the smallest id"), (5, "five"), (-1, "below")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    shards = write_records(docs, f"file://{tmp_path}/records", PATH, shard_bytes=1)
+    from sitespec.llm.token_records import read_records
+
+    got = sorted(read_records(shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, None, -(2**63), -1, 5]
+    alone = {i: expected(whole, [(i, t)])[0][2:] for i, t in rows if i is not None}
+    assert all((r.n_tokens, r.ids_crc32) == alone[r.doc_id] for r in got[3:])
+    assert sorted((r.n_tokens, r.ids_crc32) for r in got[:3]) == sorted(expected(whole, [(0, t)])[0][2:] for i, t in rows if i is None)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+    whole_shard = write_records(docs.coalesce(1), f"file://{tmp_path}/one", PATH)
+    found = [ids for r in whole_shard.collect() for ids in fetch(r["shard"], [-(2**63)]).values()]
+    assert [x.tolist()[:-1] for x in found] == [whole.encode("the smallest id", add_special_tokens=False).ids]
