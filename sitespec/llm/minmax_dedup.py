@@ -22,6 +22,8 @@ BANDS = 2 * PERMUTATIONS // ROWS
 BLOCK = 64
 #: Pairs whose signatures agree this many standard deviations less than linked ones would are not compared in full.
 DEVIATIONS = 5.0
+#: The chance to share no band that a pair at the threshold may have at most (7.3e-5 at 0.80, 7.7e-7 at 0.85).
+MISS = 1e-4
 _RANDOM = np.random.default_rng(97)
 _A = _RANDOM.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1)
 _B = _RANDOM.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
@@ -192,8 +194,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
     component, so a large group of near copies costs one comparison per copy and band at most. What is left,
     pairs of non-leaders in different components, is compared block against block: first the sketches, with the
     size ratio, then the full sets of those that may still be linked. No pair is left out for the size of its
-    bucket, no bucket meets in one task, and only links that join components are emitted.
+    bucket, no bucket meets in one task, and only links that join components are emitted. Raises ValueError for a ``percent``
+    at which a pair shares no band with a chance above ``MISS``.
     """
+    if (1 - (percent / 100) ** ROWS) ** BANDS > MISS:
+        raise ValueError(f"{BANDS} bands of {ROWS} values would miss too many pairs at {percent} percent")
     prints = materialize(fingerprints(docs, width), "fingerprints")
     real = prints.filter("set_key is not null and doc_id is not null")
     classes = real.groupBy("set_key").agg(F.min("doc_id").alias("holder"), F.count(F.lit(1)).alias("n"))

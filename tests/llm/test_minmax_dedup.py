@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from sitespec.llm.graph import components
 from sitespec.llm.minmax_dedup import BANDS, ROWS, _promising_of, band_keys, intersections, near_duplicates, signature, without_near_duplicates
@@ -110,3 +111,9 @@ def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 900), (900, 1000), (5000, 5000)]
     got = components(spark.createDataFrame(chain, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == [(i, 0) for i in range(201)] + [(900, 900), (1000, 900)]
+
+
+@pytest.mark.parametrize("percent", [50, 79])
+def test_percent_below_what_the_bands_carry(spark, percent):
+    with pytest.raises(ValueError, match="miss too many"):
+        near_duplicates(spark.createDataFrame([], SCHEMA), percent)
