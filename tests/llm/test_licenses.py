@@ -72,3 +72,26 @@ def test_table(spark):
     rows = scan_licenses(docs).collect()
     assert sorted((r.doc_id or 0, r.n_words, len(r.places)) for r in rows) == [(0, 0, 0), (1, 2, 1), (1, 2, 1)]
     assert scan_licenses(docs.limit(0)).collect() == []
+
+
+def test_long_text_of_many_words():
+    chance = random.Random(11)
+    fill = lambda n: [chance.choice(["lorem", "ipsum", "dolor", "amet"]) for _ in range(n)]
+    chosen = [NOTICES[0], NOTICES[len(NOTICES) // 2], NOTICES[-1]]
+    text, spans = [], []
+    for (notice, label), before in zip(chosen, (0, 10_000, 10_000), strict=True):
+        text += fill(before)
+        edited = notice.split()
+        edited[1] = edited[1][:-1] + "q"
+        spans.append((label, len(text), len(text) + len(edited)))
+        text += edited
+    phrase, label = PHRASES[0]
+    text[15_000:15_000] = phrase.split()
+    spans[2] = (spans[2][0], *(x + len(phrase.split()) for x in spans[2][1:]))
+    joined = " ".join(text)
+    got = FIND(joined)
+    assert len(joined) > 100_000 and got["n_words"] == len(text)
+    assert (label, 15_000) in [(p["label"], p["word"]) for p in got["places"]]
+    assert [(p["label"], p["word"]) for p in got["places"]] == brute_places(joined)
+    found = [(n["label"], n["start"], n["end"]) for n in got["notices"]]
+    assert all(any(x[0] == y[0] and abs(x[1] - y[1]) <= 1 and abs(x[2] - y[2]) <= 1 for y in found) for x in spans), (spans, found)
