@@ -88,7 +88,38 @@ counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(c.n, 0) AS n_links, l.component_id, l.component_id = e.vec_id AS kept
 FROM embeddings e JOIN least l ON l.a = e.vec_id LEFT JOIN counts c ON c.a = e.vec_id"""
 
+_DIVERGENCE = """
+WITH docs AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+    FROM documents),
+words AS (SELECT d, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+sums AS (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL),
+rates AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS c,
+           1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.n, 0) + 5 * l.v)::HUGEINT AS p,
+           1 + (1000000000::HUGEINT * (k.lang_n + 5)) // (l.n + 5 * l.v)::HUGEINT AS q
+    FROM groups g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+    LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source),
+apart AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM rates a JOIN rates b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM rates WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
 ORACLES: dict[str, str] = {
+    "op11_divergence_audit": _DIVERGENCE,
     "op1_minmax_dedup": _NEAR,
     "op3_embedding_dedup": _VECTORS,
     "op5_secret_scan": _SECRETS,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sitespec.llm.binary_codes import near_vectors
 from sitespec.llm.byte_cnn import identify_languages
 from sitespec.llm.common import table
+from sitespec.llm.divergence import audit_sources
 from sitespec.llm.imatch import fingerprints
 from sitespec.llm.licenses import scan_licenses
 from sitespec.llm.minmax_dedup import near_duplicates
@@ -100,6 +101,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), every=1)
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ in their words, and the words that each uses most above its language."""
+    return audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minmax_dedup": op1_minmax_dedup,
     "op2_language_id": op2_language_id,
@@ -111,4 +117,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_divergence_audit": op11_divergence_audit,
 }
