@@ -19,6 +19,7 @@ from sitespec.llm.mixing import domains_of, mixing_rates
 from sitespec.llm.pieces import piece_round_trip
 from sitespec.llm.secrets import BASE, joined, scan_secrets
 from sitespec.llm.token_records import token_records
+from sitespec.llm.url_rules import filter_urls
 from sitespec.llm.warc import warc_round_trip
 
 
@@ -106,6 +107,11 @@ def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(table(spark, sf_dir, "documents"))
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's URL by base rules, else by mined token rules."""
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minmax_dedup": op1_minmax_dedup,
     "op2_language_id": op2_language_id,
@@ -118,4 +124,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_divergence_audit": op11_divergence_audit,
+    "op13_url_filter": op13_url_filter,
 }
