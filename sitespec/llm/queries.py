@@ -12,6 +12,7 @@ from sitespec.llm.binary_codes import near_vectors
 from sitespec.llm.byte_cnn import identify_languages
 from sitespec.llm.common import table
 from sitespec.llm.divergence import audit_sources
+from sitespec.llm.hard_negatives import mine_hard_negatives
 from sitespec.llm.imatch import fingerprints
 from sitespec.llm.licenses import scan_licenses
 from sitespec.llm.minmax_dedup import near_duplicates
@@ -107,6 +108,12 @@ def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, with the labels of every seventh shifted."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, shifted)
+
+
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's URL by base rules, else by mined token rules."""
     return filter_urls(table(spark, sf_dir, "pages"))
@@ -124,5 +131,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_divergence_audit": op11_divergence_audit,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_url_filter": op13_url_filter,
 }
