@@ -13,7 +13,7 @@ from sitespec.llm.common import materialize
 #: Rows of a part and anchors of a part: a task holds one part of each at a time.
 PART_ROWS, PART_ANCHORS = 8192, 2048
 #: Rows that one inverted index covers, anchors that ask it together, and dimensions whose postings go together.
-BLOCK_ROWS, BLOCK_ANCHORS, SLAB = 2048, 512, 8
+BLOCK_ROWS, BLOCK_ANCHORS, SLAB = 2048, 256, 16
 #: Depths of a search between the highest possible score and the lowest one that still matters.
 LEVELS = (0.9, 0.75, 0.5, 0.25, 0.0)
 #: Components are multiplied by this and rounded down.
@@ -62,29 +62,31 @@ class InvertedIndex:
         queries = queries[:, self.order]
         norms = _rest_norms(queries, self.cuts)
         slack = 1 + 1e-9 * norms[:, 0].max(initial=0) * self.norms[:, 0].max(initial=0)
-        floor = least[:, None] - slack
-        listed = self.norms[:, :-1] * norms[:, :-1].max(0, initial=0) >= least.min() - slack
-        depth = listed.sum(1)
-        sums = np.zeros((len(queries), len(self.rows)), self.rows.dtype)
-        alive = depth > 0 if len(self.cuts) > 1 else np.ones(len(self.rows), bool)
-        if least.min() <= 0:
-            alive |= depth == 0
-        slabs = list(zip(self.cuts, self.cuts[1:], strict=False))
-        for number, (start, end) in enumerate(slabs):
-            rows = np.flatnonzero(alive & (depth > number))
-            if not len(rows):
+        floor = least - slack
+        listed = self.norms[:, :-1] * norms[:, :-1].max(0, initial=0) >= floor.min(initial=0)
+        depth = listed.sum(1)  # in how many slabs a row is listed
+        rows = np.flatnonzero((depth > 0) | (floor.min(initial=0) <= 0))
+        depth, sums = depth[rows], np.zeros((len(rows), len(queries)), self.rows.dtype)
+        for number, (start, end) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
+            some = depth > number
+            if not some.any():
                 break
-            sums[:, rows] += queries[:, start:end] @ self.rows[rows, start:end].T
-            hope = sums[:, rows] + norms[:, number + 1 : number + 2] * self.norms[rows, number + 1]
-            alive[rows] = (hope >= floor).any(0)
-        rows = np.flatnonzero(alive)
-        hope = sums[:, rows] + norms[:, depth[rows]] * self.norms[rows, depth[rows]]
-        rows = rows[(hope >= floor).any(0)]
-        for number, (start, end) in enumerate(slabs):
-            late = rows[depth[rows] <= number]
-            sums[:, late] += queries[:, start:end] @ self.rows[late, start:end].T
-        found, place = np.nonzero(sums[:, rows] >= least[:, None])
-        return found, rows[place], sums[found, rows[place]].astype(np.int64)
+            if some.all():
+                sums += self.rows[rows, start:end] @ queries[:, start:end].T
+            else:
+                sums[some] += self.rows[rows[some], start:end] @ queries[:, start:end].T
+            # the rest of a row adds at most the product of the norms of both rests
+            at = np.minimum(depth, number + 1)
+            alive = (sums + self.norms[rows, at][:, None] * norms[:, number + 1] >= floor).any(1) if some.all() else (
+                sums + self.norms[rows, at][:, None] * norms[:, at].T >= floor
+            ).any(1)
+            rows, depth, sums = rows[alive], depth[alive], sums[alive]
+        for number, (start, end) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
+            late = depth <= number
+            if late.any():
+                sums[late] += self.rows[rows[late], start:end] @ queries[:, start:end].T
+        place, found = np.nonzero(sums >= least)
+        return found, rows[place], sums[place, found].astype(np.int64)
 
 
 class Windows:
@@ -96,13 +98,13 @@ class Windows:
         self.row = np.full((*low.shape, size), _ALL, np.int64)
         self.score[low > high] = _ALL  # no window: nothing can enter, and it counts as full
 
-    def floor(self) -> np.ndarray:
-        """The least score that may still enter a window of the anchor."""
-        return np.maximum(self.low, self.score[..., -1]).min(1)
+    def floor(self, anchors: np.ndarray) -> np.ndarray:
+        """The least score that may still enter a window of the anchors."""
+        return np.maximum(self.low[anchors], self.score[anchors, :, -1]).min(1)
 
-    def full(self, least: np.ndarray) -> np.ndarray:
+    def full(self, anchors: np.ndarray, least: np.ndarray) -> np.ndarray:
         """Whether all windows are full of rows with at least this score."""
-        return (self.score[..., -1] >= least[:, None]).all(1)
+        return (self.score[anchors, :, -1] >= least[:, None]).all(1)
 
     def add(self, anchors: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> None:
         for k in range(self.low.shape[1]):
@@ -128,26 +130,37 @@ def fill_windows(
     Block by block, each anchor starts with a high threshold, which is lowered until its windows are full or no
     lower score can enter. What earlier blocks have found raises the lowest threshold.
     """
-    for start in range(0, len(rows), BLOCK_ROWS):
-        part = slice(start, start + BLOCK_ROWS)
-        index, part_ids, part_labels = InvertedIndex(rows[part]), ids[part], labels[part]
-        top = np.minimum(index.reach(anchors), windows.high.max(1))
-        floor = np.maximum(windows.floor(), -index.reach(anchors))
-        before = np.full(len(anchors), np.inf)
-        active = np.flatnonzero(floor <= top)
-        for level in LEVELS:
-            least = floor + level * np.maximum(top - floor, 0)
-            for first in range(0, len(active), BLOCK_ANCHORS):
-                some = active[first : first + BLOCK_ANCHORS]
-                found, row, score = index.search(anchors[some], least[some])
-                anchor = some[found]
-                good = (part_labels[row] == of[anchor]) == same
-                good &= (part_ids[row] != own[anchor]) & (score < before[anchor])
-                windows.add(anchor[good], part_ids[row[good]], score[good])
-            before[active] = least[active]
-            active = active[~windows.full(least)[active]]
-            if not len(active):
-                break
+    by_label = np.argsort(of, kind="stable")  # anchors of a label ask together: they tend to look alike
+    groups = np.split(by_label, np.flatnonzero(np.diff(of[by_label])) + 1) if same else [by_label]
+    for group in groups:
+        mine = np.flatnonzero(labels == of[group[0]]) if same and len(group) else np.arange(len(rows))
+        for start in range(0, len(mine), BLOCK_ROWS):
+            part = mine[start : start + BLOCK_ROWS]
+            index = InvertedIndex(rows[part])
+            for first in range(0, len(group), BLOCK_ANCHORS):
+                asking = group[first : first + BLOCK_ANCHORS]
+                _fill(index, ids[part], labels[part], anchors, own, of, same, windows, asking)
+
+
+def _fill(
+    index: InvertedIndex, ids: np.ndarray, labels: np.ndarray,
+    anchors: np.ndarray, own: np.ndarray, of: np.ndarray, same: bool, windows: Windows, asking: np.ndarray,
+) -> None:
+    reach = index.reach(anchors[asking])
+    top = np.minimum(reach, windows.high[asking].max(1))
+    floor = np.maximum(windows.floor(asking), -reach)
+    before = np.full(len(asking), np.inf)
+    active = np.flatnonzero(floor <= top)
+    for level in LEVELS:
+        if not len(active):
+            break
+        least = floor[active] + level * (top - floor)[active]
+        found, row, score = index.search(anchors[asking[active]], least)
+        anchor = asking[active[found]]
+        good = ((labels[row] == of[anchor]) == same) & (ids[row] != own[anchor]) & (score < before[active[found]])
+        windows.add(anchor[good], ids[row[good]], score[good])
+        before[active] = least
+        active = active[~windows.full(asking[active], least)]
 
 
 def _exact(rows: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
