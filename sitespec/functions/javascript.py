@@ -184,12 +184,18 @@ def _scope_line(js: Column, pos: Column, head: Column) -> Column:
     return F.concat(F.substring_index(head, "\n", -1), upto)
 
 
-def enclosing_scope(js: Column, pos: Column) -> Column:
+def enclosing_scope(js: Column, pos: Column, masked: Column | None = None) -> Column:
     """Text from the nearest ``{`` before a 1-based position to its balancing ``}``.
 
     NULL when that brace is never closed; without any brace, the line itself.
-    Braces in strings and comments count.
+    Braces in strings and comments count, unless the masked text is given too: then the braces of that count.
     """
+    if masked is not None:
+        head = F.substring(masked, F.lit(1), pos - 1)
+        opens = F.length(head) - F.length(F.substring_index(head, "{", -1))
+        scope = F.substring(js, opens, F.length(_scope_at(masked, opens)))
+        line = _scope_line(js, pos, F.substring(js, F.lit(1), pos - 1))
+        return F.when(F.contains(head, F.lit("{")), scope).otherwise(line)
 
     def from_head(head: Column) -> Column:
         opens = F.length(head) - F.length(F.substring_index(head, "{", -1))

@@ -14,6 +14,7 @@ from sitespec.functions import html, javascript as js, urls
 from sitespec.functions.json_text import response_sample, sample_verified, schema_json
 from sitespec.functions.navigation import js_nav_links
 from sitespec.functions.paths import posix_dirname, route_root
+from sitespec.operators import calls as calling
 from sitespec.operators import crawl as crawling
 from sitespec.operators import endpoints as api
 from sitespec.operators import pages as ops
@@ -26,6 +27,7 @@ from sitespec.sinks import (
 )
 from sitespec.sources import as_pages, load_pages, ok_only, skipped, spread
 from sitespec.sources import derived
+from sitespec.sources.app_scripts import app_scripts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +51,11 @@ def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_pages(files)
 
 
+def _apps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Like the scripts, few bytes with much to parse.
+    return as_pages(app_scripts(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism))
+
+
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.call_sites(_scripts(spark, sf_dir))
 
@@ -228,6 +235,29 @@ def verify_warnings(spark, sf_dir):
     return api.verify_warnings(_verified(spark, sf_dir))
 
 
+# Calls of any name --------------------------------------------------------
+
+
+def masked_scripts(spark, sf_dir):
+    return calling.masked_scripts(_apps(spark, sf_dir)).select("domain", "file_path", "masked")
+
+
+def masked_scopes(spark, sf_dir):
+    return calling.masked_scopes(_apps(spark, sf_dir))
+
+
+def call_functions(spark, sf_dir):
+    return calling.call_functions(calling.code_calls(_apps(spark, sf_dir)))
+
+
+def wrapper_calls(spark, sf_dir):
+    return calling.wrapper_calls(calling.code_calls(_apps(spark, sf_dir)))
+
+
+def call_styles(spark, sf_dir):
+    return calling.call_styles(calling.code_calls(_apps(spark, sf_dir))).withColumn("keys", _text("keys"))
+
+
 # Crawl --------------------------------------------------------------------
 
 
@@ -347,6 +377,11 @@ QUERIES: dict[str, Query] = {
     "response_samples": response_samples,
     "verify_endpoints": verify_endpoints,
     "verify_warnings": verify_warnings,
+    "masked_scripts": masked_scripts,
+    "masked_scopes": masked_scopes,
+    "call_functions": call_functions,
+    "wrapper_calls": wrapper_calls,
+    "call_styles": call_styles,
     "crawl_full": _crawl(),
     "crawl_budget": _crawl(max_page=100),
     "crawl_depth": _crawl(max_depth=3),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sitespec.sources.app_scripts import facts_sql, scripts_sql
 from sitespec.sources.derived import js_files_sql, responses_sql, site_pages_sql
 
 Q = "[''\"`]"  # a quote of any kind, inside a SQL string
@@ -417,7 +418,18 @@ def _inspected(budget: int) -> str:
     return with_(SITE, crawl_ctes(), reached, call_ctes("reached"), ENDPOINTS, recursive=True)
 
 
+def stated(name: str, *columns: str) -> str:
+    """What the pieces of the application scripts state, with the line within the file."""
+    rest = ", ".join(columns)
+    return f"{facts_sql(name, ('line', *columns))} SELECT domain, file_path, (before + line)::INTEGER AS line_no, {rest} FROM facts"
+
+
 ORACLES: dict[str, str] = {
+    "masked_scripts": f"SELECT domain, path AS file_path, text AS masked FROM ({scripts_sql('duckdb', masked=True)})",
+    "masked_scopes": stated("scopes", "endpoint_literal", "scope"),
+    "call_functions": stated("functions", "callee", "function", "depth"),
+    "wrapper_calls": stated("wrapped", "function", "wrapper", "route", "method", "hops"),
+    "call_styles": stated("styles", "function", "style", "method", "route", "keys"),
     "page_titles": with_(SNAP) + f"SELECT page_id, {title('text')} AS title FROM snap",
     "site_titles": with_(SITE) + f"SELECT page_id, CASE WHEN {is_html()} THEN {title('text')} END AS title FROM site",
     "link_edges": with_(SNAP, link_ctes("snap")) + "SELECT page_id, domain, src_path, dst_path FROM links",
