@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sitespec.llm.common import materialize
 from sitespec.llm.graph import components
+from sitespec.llm.id_filter import IdBits
 from sitespec.llm.shingles import WIDTH, mixed, shingle_set
 
 #: Permutations; each keeps its smallest and its largest value, so a signature has twice as many values.
@@ -180,6 +181,11 @@ def _blocks(counted, ids, block: int):
     return F.pmod(F.xxhash64(ids), F.ceil(counted / F.lit(block))).cast("int")
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) of ``docs`` with one of the ids (distinct); of the others next to none is shuffled."""
+    return IdBits(ids).held(docs.select("doc_id", "text"), "doc_id").join(ids, "doc_id", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of ``docs`` (doc_id long, text), one row per row.
 
@@ -208,8 +214,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
     banded = holders.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last")
     members = materialize(banded.join(buckets.drop("last"), "key"), "members")
-    texts = docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = materialize(_sets(texts, width), "sets")
+    sets = materialize(_sets(_only(docs, members.select(F.col("id").alias("doc_id")).distinct()), width), "sets")
 
     def compared(groups: DataFrame, keys: list[str]) -> DataFrame:
         rows = groups.join(sets, "id")
@@ -259,5 +264,8 @@ def without_near_duplicates(docs: DataFrame, percent: int = 85, width: int = WID
 
     Of rows that share a doc_id, all stay or go.
     """
-    gone = near_duplicates(docs, percent, width).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialize(near_duplicates(docs, percent, width).filter("not kept").select("doc_id").distinct(), "gone")
+    bits = IdBits(gone)
+    # Only rows that the bit set holds are shuffled; it holds none without doc_id.
+    rest = bits.held(docs, "doc_id").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return bits.others(docs, "doc_id").unionByName(rest)
