@@ -22,6 +22,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,12 @@ from sitespec.llm.common import fresh_folder, materialize, nonce
 END_ID = 0
 #: Bytes of a shard after which a task begins the next one.
 SHARD_BYTES = 64 << 20
-#: Words whose ids a task remembers; a full memory is emptied, which changes no result.
-MEMORY = 200_000
+#: Words whose ids a worker process remembers, twice: when so many are new, those not asked for since go.
+MEMORY = 300_000
+#: Longer words aren't remembered, so the memory is bounded in bytes too.
+LONGEST = 64
+#: New words that are encoded as one text.
+JOINED = 400
 _MASK = 0xA282EAD8
 #: What stands in the place of a missing doc_id, and the bit beside the width that says so.
 NO_ID, _NO_ID_FLAG = -(2**63), 128
@@ -82,7 +87,8 @@ class WordEncoder:
     """Encodes whole texts with the tokenizers library, asking it once for each run of characters up to a space.
 
     The byte-level split puts a boundary before every space that is followed by a character other than white
-    space, so a text cut there gives the same ids; what was encoded before is remembered. Texts of tokenizers
+    space, so a text cut there gives the same ids; what was encoded before is remembered. New words go to the library
+    joined, and the ids are cut where the bytes of the tokens add up to the end of a word. Texts of tokenizers
     with a normalizer or another split are encoded whole.
     """
 
@@ -101,7 +107,30 @@ class WordEncoder:
             type(split).__name__ == "ByteLevel" and not split.add_prefix_space and self.tokenizer.normalizer is None
             and not any(c.isspace() for text in added for c in text)
         )
-        self.memory, self.known = memory, {}
+        self.memory, self.known, self.old = memory, {}, {}
+        # Bytes of a token: the byte-level alphabet has one character a byte, added tokens are plain text.
+        plain = {t.content: len(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.sizes = np.zeros(largest, np.int64)
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.sizes[number] = plain.get(token, len(token))
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that begin with a space and another character, many at a time."""
+        runs = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        out: list[bytes] = []
+        for run, found in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.int64)
+            ends = np.cumsum([len(w.encode()) for w in run])
+            reached = np.cumsum(self.sizes[ids])
+            cuts = np.searchsorted(reached, ends)
+            if not len(ids) or cuts[-1] >= len(ids) or not np.array_equal(reached[cuts], ends):
+                out += self._encode(run)  # a tokenizer whose tokens don't spell the text
+                continue
+            data, width, first = ids.astype(self.dtype).tobytes(), self.dtype.itemsize, 0
+            for last in ((cuts + 1) * width).tolist():
+                out.append(data[first:last])
+                first = last
+        return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -123,25 +152,35 @@ class WordEncoder:
         if not self.by_word:
             return [np.frombuffer(x, self.dtype) for x in self._encode(texts)]
         if len(self.known) > self.memory:
-            self.known = {}
-        get = self.known.get
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
         cut = [text.split(" ") for text in texts]
-        found = [list(map(get, parts[1:])) for parts in cut]
-        gaps = [i for i, ids in enumerate(found) if None in ids]
-        new = list({p for i in gaps for p, ids in zip(cut[i][1:], found[i], strict=True) if ids is None})
+        # First words have no space before them; a line end never begins a word that has one, so it keys them apart.
+        heads = ["\n" + parts[0] for parts in cut]
+        new = set(heads).union(*(parts[1:] for parts in cut)).difference(known)
+        first = new.intersection(heads)
         # A piece that is empty or begins with white space is never remembered, so its texts are seen here each time.
-        odd = {p for p in new if not p or p[0].isspace()}
-        new = [p for p in new if p not in odd]
-        whole = {i for i in gaps if odd and not odd.isdisjoint(cut[i][1:])}
-        encoded = self._encode([" " + p for p in new] + [parts[0] for parts in cut])
-        self.known.update(zip(new, encoded, strict=False))
-        heads = encoded[len(new) :]
-        for i in gaps:
-            if i in whole:
-                heads[i], found[i] = b"", self._encode(self.units(texts[i]))
-            else:
-                found[i] = list(map(self.known.__getitem__, cut[i][1:]))
-        return [np.frombuffer(head + b"".join(ids), self.dtype) for head, ids in zip(heads, found, strict=True)]
+        odd = {p for p in new if not p or p[0].isspace()} - first
+        again = new.intersection(old)
+        known.update((p, old[p]) for p in again)
+        fresh, begun = list(new - odd - first - again), list(first - again)
+        known.update(zip(fresh, self._encode_words([" " + p for p in fresh]), strict=True))
+        known.update(zip(begun, self._encode([p[1:] for p in begun]), strict=True))
+        out = []
+        for text, parts, head in zip(texts, cut, heads, strict=True):
+            parts[0] = head
+            whole = bool(odd) and not odd.isdisjoint(parts)
+            out.append(b"".join(self._encode(self.units(text)) if whole else map(known.__getitem__, parts)))
+        for p in new:
+            if len(p) > LONGEST:
+                known.pop(p, None)
+        return [np.frombuffer(ids, self.dtype) for ids in out]
+
+
+@lru_cache(maxsize=2)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a worker process: what one task has encoded, the next ones know."""
+    return WordEncoder(path)
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer_path: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -159,7 +198,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, shard_bytes
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = arrow_fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        encode, part, attempt = WordEncoder(tokenizer_path), TaskContext.get().partitionId(), nonce()
+        encode, part, attempt = word_encoder(tokenizer_path), TaskContext.get().partitionId(), nonce()
         end = np.array([END_ID], encode.dtype)
         out = name = None
         entries: list[tuple[int, int, int]] = []
