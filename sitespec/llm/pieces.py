@@ -6,6 +6,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Threads that a batch is encoded with (the cores of a task), and words whose ids a task remembers.
-THREADS, MEMORY = 1, 400_000
+THREADS, MEMORY = 1, 200_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -127,7 +128,7 @@ class PieceCodec:
             m.dummy_prefix and not m.charsmap and not m.trim
             and not any(SPACE in p.lstrip(SPACE) or kind == USER_DEFINED for p, _, kind in m.pieces)
         )
-        self.memory, self.known = memory, {}
+        self.memory, self.known, self.old = memory, {}, {}
         self.surface = [
             bytes([int(p[3:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL
             else m.unknown_text.encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode()
@@ -137,13 +138,15 @@ class PieceCodec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the original library gives them without begin and end marks."""
         if len(self.known) > self.memory:
-            self.known = {}
+            self.known, self.old = {}, self.known
         cut = [text.split(" ") if self.by_word and text and SPACE not in text else [""] for text in texts]
         found = [list(map(self.known.get, parts)) for parts in cut]
         gaps = [i for i, ids in enumerate(found) if None in ids]
         new = {p for i in gaps for p, ids in zip(cut[i], found[i], strict=True) if ids is None}
         new.discard("")  # never remembered: a text with a run of spaces is always seen here
-        new = list(new)
+        again = {p: ids for p in new if (ids := self.old.get(p)) is not None}
+        self.known.update(again)
+        new = [p for p in new if p not in again]
         encoded = self.words.encode_batch_fast([SPACE + p for p in new], add_special_tokens=False)
         self.known.update(zip(new, (np.array(e.ids, "<i4").tobytes() for e in encoded), strict=True))
         whole = [i for i in gaps if "" in cut[i]]
@@ -169,6 +172,12 @@ def model_bytes(path: str) -> bytes:
         return file.read()
 
 
+@lru_cache(maxsize=2)
+def _codec(data: bytes, threads: int) -> PieceCodec:
+    """The codec of a worker process: what one task has encoded, the next ones know."""
+    return PieceCodec(data, threads)
+
+
 def encode_pieces(docs: DataFrame, model_path: str, threads: int = THREADS) -> DataFrame:
     """(doc_id, ids array<int>, n_pieces) of ``docs`` (doc_id, text); NULL and empty texts have no ids.
 
@@ -178,7 +187,7 @@ def encode_pieces(docs: DataFrame, model_path: str, threads: int = THREADS) -> D
     shipped = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(shipped.value, threads)
+        codec = _codec(shipped.value, threads)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
@@ -208,7 +217,7 @@ def piece_round_trip(docs: DataFrame, model_path: str, every: int = 100, threads
         import sentencepiece
 
         data = shipped.value
-        codec, original = PieceCodec(data, threads), sentencepiece.SentencePieceProcessor(model_proto=data)
+        codec, original = _codec(data, threads), sentencepiece.SentencePieceProcessor(model_proto=data)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
