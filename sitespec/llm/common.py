@@ -12,13 +12,14 @@ from sitespec.schemas import materialize, shared_folder
 __all__ = ["fresh_folder", "materialize", "nonce", "shared_folder", "table", "text_batches", "whole_text"]
 
 
-#: Rows that go to a Python worker at a time; whole texts can be long, so these are fewer than Spark's default.
-BATCH_ROWS = 1000
+#: Rows and bytes that go to a Python worker at a time; whole texts can be long, so these are fewer than Spark's default.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Let tasks hand whole texts to Python in small batches; a setting of the session."""
+    """Let tasks hand whole texts to Python in small batches; settings of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
