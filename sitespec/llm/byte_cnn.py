@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitespec.llm.common import release_memory
+
 #: Bytes of a window; texts are cut into windows from end to end.
 WINDOW = 256
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 12, 8
@@ -188,6 +190,7 @@ def language_of(text: Column, net: Network | None) -> Column:
         for low in range(0, len(texts), 256):
             part = texts.slice(low, 256).to_pylist()
             out += predictor.texts(part) if predictor else [(UNDETERMINED, 0.0)] * len(part)
+        release_memory()
         return pa.array([{"lang": a, "score": b} for a, b in out], kind)
 
     return F.arrow_udf(predict, "struct<lang:string,score:double>")(text)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitespec.schemas import materialize, shared_folder
 
-__all__ = ["fresh_folder", "materialize", "nonce", "shared_folder", "table", "text_batches", "whole_text"]
+__all__ = ["fresh_folder", "materialize", "nonce", "release_memory", "shared_folder", "table", "text_batches", "whole_text"]
 
 
 #: Rows and bytes that go to a Python worker at a time; whole texts can be long, so these are fewer than Spark's default.
@@ -41,3 +43,11 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 def nonce() -> str:
     """A name that no other attempt uses."""
     return uuid.uuid4().hex
+
+
+def release_memory() -> None:
+    """Give what a worker process has freed back to the system: workers outlive their tasks and wait for others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; others have no such call
+    if trim:
+        trim(0)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitespec.llm.common import materialize
+from sitespec.llm.common import materialize, release_memory
 from sitespec.llm.graph import components
 from sitespec.llm.id_filter import IdBits
 from sitespec.llm.shingles import WIDTH, mixed, shingle_set
@@ -55,9 +55,10 @@ def _arrays(docs: DataFrame, schema: str, make) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
+            for low in range(0, batch.num_rows, 256):  # sets of many long texts must not meet in one array
+                part = batch.slice(low, 256)
                 yield make(part.column(0), part.column(1))
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
