@@ -16,8 +16,10 @@ SPACE = "▁"
 # Numbers of the published model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Threads that a batch is encoded with (the cores of a task), and words whose ids a task remembers.
-THREADS, MEMORY = 1, 200_000
+#: Threads that a batch is encoded with (the cores of a task), and words whose ids a worker process remembers, twice.
+THREADS, MEMORY = 1, 300_000
+#: New words that are encoded as one text.
+JOINED = 400
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -112,7 +114,8 @@ class PieceCodec:
 
     Where no piece holds the space marker behind another character, no merge and no best path crosses a space, so
     words are encoded by themselves and remembered; texts with runs of spaces, and all texts of other models, go
-    whole. The library encodes what is new in one batch, on ``threads`` threads.
+    whole. The library encodes what is new in one batch, on ``threads`` threads: new words go joined, and the ids are
+    cut before each piece that begins with the marker.
     """
 
     def __init__(self, data: bytes, threads: int = THREADS, memory: int = MEMORY):
@@ -129,12 +132,27 @@ class PieceCodec:
             and not any(SPACE in p.lstrip(SPACE) or kind == USER_DEFINED for p, _, kind in m.pieces)
         )
         self.memory, self.known, self.old = memory, {}, {}
+        self.begins = np.array([p.startswith(SPACE) for p, _, _ in m.pieces])
         self.surface = [
             bytes([int(p[3:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL
             else m.unknown_text.encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode()
             for p, _, kind in m.pieces
         ]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without a space marker, many joined at a time: each begins at the only piece with a marker."""
+        runs = [[SPACE + w for w in words[i : i + JOINED]] for i in range(0, len(words), JOINED)]
+        out: list[bytes] = []
+        for run, found in zip(runs, self.words.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<i4")
+            first = np.flatnonzero(self.begins[ids])
+            if len(first) != len(run) or (len(first) and first[0] != 0):  # a vocabulary without the marker itself
+                out += [np.array(e.ids, "<i4").tobytes() for e in self.words.encode_batch_fast(run, add_special_tokens=False)]
+                continue
+            data, cuts = ids.tobytes(), [*(first * 4).tolist(), ids.nbytes]
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the original library gives them without begin and end marks."""
         if len(self.known) > self.memory:
@@ -147,8 +165,7 @@ class PieceCodec:
         again = {p: ids for p in new if (ids := self.old.get(p)) is not None}
         self.known.update(again)
         new = [p for p in new if p not in again]
-        encoded = self.words.encode_batch_fast([SPACE + p for p in new], add_special_tokens=False)
-        self.known.update(zip(new, (np.array(e.ids, "<i4").tobytes() for e in encoded), strict=True))
+        self.known.update(zip(new, self._encode_words(new), strict=True))
         whole = [i for i in gaps if "" in cut[i]]
         ids = self.whole.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)
         for i, e in zip(whole, ids, strict=True):
