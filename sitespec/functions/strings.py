@@ -64,9 +64,22 @@ def find_all_if(c: Column, needle: str, pattern: str, group: int = 1) -> Column:
     return F.when(F.contains(c, F.lit(needle)), find_all(c, pattern, group)).otherwise(no_strings())
 
 
+# One well-formed UTF-8 sequence, with a character for each byte.
+_SEQUENCE = (
+    r"[\x00-\x7F]|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}"
+    r"|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}"
+)
+
+
 def decode_text(c: Column) -> Column:
-    """Bytes to text, with bytes that are not UTF-8 dropped.
+    """Bytes to text, with bytes that are not UTF-8 dropped; a genuine U+FFFD stays.
 
-    Bad bytes become U+FFFD first, so a genuine U+FFFD is dropped as well.
+    Sound bytes are taken as they are. Only others are read one character a byte, where a pattern keeps the
+    well-formed sequences. NULL stays NULL.
     """
-    return F.replace(F.make_valid_utf8(c.cast("string")), F.lit("\ufffd"), F.lit(""))
+
+    def sound(b: Column) -> Column:
+        by_byte = F.regexp_replace(F.decode(b, "ISO-8859-1"), f"(?s)((?:{_SEQUENCE})++)|.", "$1")
+        return F.when(F.is_valid_utf8(b.cast("string")), b).otherwise(F.encode(by_byte, "ISO-8859-1")).cast("string")
+
+    return let(c.cast("binary"), sound)
