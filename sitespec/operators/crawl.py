@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitespec.operators.ranking import join_per_domain, number_within
-from sitespec.schemas import materialize
+from sitespec.schemas import materialize, shared_folder
 
 
 @dataclass(frozen=True)
@@ -48,11 +49,10 @@ def crawl(
     """
     nodes = _nodes(linked).persist()
     try:
-        levels = _levels(nodes, max_page, max_depth, seed)
+        tried, depths = _levels(nodes, max_page, max_depth, seed)
     finally:
         nodes.unpersist()
 
-    tried = _union(levels)
     good = tried.filter(F.col("links").isNotNull()).select("domain", "path", "depth")
     pages = number_within(good, ["domain"], ["depth", "path"], "crawl_rank")
     missed = tried.filter(F.col("links").isNull()).select("domain", "path", "depth", "status_code")
@@ -62,41 +62,41 @@ def crawl(
         last = pages.filter(F.col("crawl_rank") == max_page).select("domain", F.struct("depth", "path").alias("_last"))
         before = join_per_domain(missed, last, "left", F.col("path"))
         missed = before.filter(F.col("_last").isNull() | (F.struct("depth", "path") < F.col("_last"))).drop("_last")
-    return Crawl(pages, missed, len(levels))
+    return Crawl(pages, missed, depths)
 
 
-def _levels(nodes: DataFrame, max_page: int | None, max_depth: int | None, seed: str) -> list[DataFrame]:
-    """The tried paths of each depth with the links of the good ones, written to the shared folder."""
+def _levels(nodes: DataFrame, max_page: int | None, max_depth: int | None, seed: str) -> tuple[DataFrame, int]:
+    """The tried paths of all depths with the links of the good ones, and the number of depths.
+
+    Each depth is a folder below one in the shared folder. What was tried so far is one scan of them, so the plan of
+    a level does not grow with its depth.
+    """
+    spark = nodes.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/sitespec-{uuid.uuid4().hex}"
 
     def look_up(frontier: DataFrame, depth: int) -> DataFrame:
         found = frontier.join(nodes, ["domain", "path"], "left")
-        return materialize(
-            found.select("domain", "path", F.lit(depth).alias("depth"), "status_code", "links"), f"level{depth}"
-        )
+        named = found.select("domain", "path", F.lit(depth).alias("depth"), "status_code", "links")
+        return materialize(named, f"level{depth}", folder)
+
+    def tried(depths: int) -> DataFrame:
+        return spark.read.schema(level.schema).parquet(*[f"{folder}/level{depth}" for depth in range(depths)])
 
     level = look_up(nodes.select("domain").distinct().withColumn("path", F.lit(seed)), 0)
-    levels = [level]
-    while max_depth is None or len(levels) <= max_depth:
+    depths = 1
+    while max_depth is None or depths <= max_depth:
         open_pages = level.filter(F.col("links").isNotNull())
         if max_page is not None:
-            good = _union(levels).filter(F.col("links").isNotNull())
+            good = tried(depths).filter(F.col("links").isNotNull())
             full = good.groupBy("domain").count().filter(F.col("count") >= max_page).select("domain")
             open_pages = join_per_domain(open_pages, full, "left_anti", F.col("path"))
-        visited = _union(levels).select("domain", "path")
         fresh = (
             open_pages.select("domain", F.explode("links").alias("path"))
             .distinct()
-            .join(visited, ["domain", "path"], "left_anti")
+            .join(tried(depths).select("domain", "path"), ["domain", "path"], "left_anti")
         )
-        level = look_up(fresh, len(levels))
-        if level.isEmpty():
+        found = look_up(fresh, depths)
+        if found.isEmpty():
             break
-        levels.append(level)
-    return levels
-
-
-def _union(levels: list[DataFrame]) -> DataFrame:
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        level, depths = found, depths + 1
+    return tried(depths), depths

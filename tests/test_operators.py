@@ -258,3 +258,11 @@ def test_samples_keep_the_documents_own_values(spark):
     assert [r for r in got.collect() if r.got != r.want] == []
     long = spark.range(1).select(F.concat(F.lit('{"a":"'), F.repeat(F.lit("x"), 20_500_000), F.lit('"}')).alias("b"))
     assert long.select(F.length(J.response_sample(F.lit("text/json"), F.col("b"))).alias("n")).first().n == 20_500_008
+
+
+def test_the_plan_of_a_crawl_does_not_grow_with_its_levels(spark):
+    """A chain of pages: what was tried is one scan, however many levels there are."""
+    chain = [("d", f"/{n}" if n else "/", 200, [f"/{n + 1}"]) for n in range(12)]
+    done = C.crawl(spark.createDataFrame(chain, LINKED))
+    assert done.levels == 13 and [r.path for r in done.skipped.collect()] == ["/12"]
+    assert done.skipped._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
