@@ -5,6 +5,7 @@ Arrays and structs are shown as text, so that results can be compared by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from sitespec.functions import html, javascript as js, urls
 from sitespec.functions.json_text import response_sample, sample_verified, schema_json
 from sitespec.functions.navigation import js_nav_links
 from sitespec.functions.paths import posix_dirname, route_root
+from sitespec.functions.strings import decode_text
 from sitespec.operators import calls as calling
 from sitespec.operators import crawl as crawling
 from sitespec.operators import endpoints as api
@@ -21,10 +23,12 @@ from sitespec.operators import pages as ops
 from sitespec.operators import routes as routing
 from sitespec.plans.inspect import inspect
 from sitespec.plans.settings import stages
-from sitespec.schemas import materialize
+from sitespec.schemas import materialize, shared_folder
 from sitespec.sinks import (
     api_spec_lines, clone_files, clone_manifest, explorer_lines, local_path, report_json_lines, report_markdown_lines,
+    write_clone,
 )
+from sitespec.sinks.clone_writer import file_names, read_clone
 from sitespec.sources import as_pages, load_pages, ok_only, skipped, spread
 from sitespec.sources import derived
 from sitespec.sources.app_scripts import app_scripts
@@ -154,16 +158,40 @@ def manifest(spark, sf_dir):
     return clone_manifest(pages)
 
 
-def clone_sizes(spark, sf_dir):
+def _clone(spark, sf_dir):
+    """The files of the clone of all sites, one text a file."""
     keys = ops.unique_pages(_site(spark, sf_dir).select("domain", "path", "page_id", "content_type"))
     names = materialize(clone_manifest(keys.withColumnRenamed("page_id", "crawl_rank")), "manifest")
     winners = names.select("domain", "path", F.col("crawl_rank").alias("page_id"))
     texts = _site(spark, sf_dir).join(winners, ["domain", "path", "page_id"], "left_semi")
-    return clone_files(texts, names).groupBy("domain").agg(
+    return clone_files(texts, names)
+
+
+def clone_sizes(spark, sf_dir):
+    return _clone(spark, sf_dir).groupBy("domain").agg(
         F.count(F.lit(1)).alias("files"), F.sum(F.length("text")).alias("characters")
     )
 
 
+def clone_on_disk(spark, sf_dir):
+    """The clone written as files and read back: bytes and hashes under the names on disk."""
+    folder = f"{shared_folder(spark).rstrip('/')}/sitespec-{uuid.uuid4().hex}/clone"
+    files = materialize(_clone(spark, sf_dir), "clone_files")
+    write_clone(files, folder)
+    return read_clone(file_names(files), folder)
+
+
+def decoded_bytes(spark, sf_dir):
+    """Texts of all snapshots as bytes, damaged by bytes that are not UTF-8 beside a genuine U+FFFD, and decoded."""
+    bad = F.array(*[F.lit(bytearray(b)) for b in (b"\xff", b"\xe2\x82", b"\xc0\xaf", b"\xed\xa0\x80", b"\xf4\x90\x80\x80")])
+    text, cut = F.col("text"), F.pmod("page_id", F.lit(40)).cast("int")
+    piece = F.get(bad, F.pmod("page_id", F.lit(5)).cast("int"))
+    head, tail = F.encode(F.substr(text, F.lit(1), cut), "UTF-8"), F.encode(F.substr(text, cut + 1), "UTF-8")
+    damaged = F.concat(piece, head, F.lit(bytearray("\ufffd".encode())), piece, tail, piece)
+    pages = _snapshots(spark, sf_dir).select("page_id", decode_text(damaged).alias("decoded"))
+    return pages.select("page_id", F.length("decoded").alias("characters"), F.md5("decoded").alias("md5"))
+
+
 # Scripts ------------------------------------------------------------------
 
 
@@ -366,6 +394,8 @@ QUERIES: dict[str, Query] = {
     "local_paths": local_paths,
     "clone_manifest": manifest,
     "clone_sizes": clone_sizes,
+    "clone_on_disk": clone_on_disk,
+    "decoded_bytes": decoded_bytes,
     "script_facts": script_facts,
     "call_sites": call_sites,
     "resolved_routes": resolved_routes,

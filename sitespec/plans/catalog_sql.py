@@ -465,6 +465,18 @@ QUALIFY row_number() OVER (PARTITION BY domain, local_path ORDER BY crawl_rank D
     + f"""SELECT domain, count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS characters FROM (
 SELECT * FROM (SELECT *, {local()} AS lp FROM site QUALIFY row_number() OVER (PARTITION BY domain, path ORDER BY page_id) = 1)
 QUALIFY row_number() OVER (PARTITION BY domain, lp ORDER BY page_id DESC) = 1) GROUP BY domain""",
+    "clone_on_disk": with_(SITE)
+    + f""", kept AS (
+SELECT * FROM (SELECT *, {local()} AS lp FROM site QUALIFY row_number() OVER (PARTITION BY domain, path ORDER BY page_id) = 1)
+QUALIFY row_number() OVER (PARTITION BY domain, lp ORDER BY page_id DESC) = 1),
+folders AS (SELECT DISTINCT domain, regexp_extract(lp, '^(.*)/[^/]*$', 1) || '/' AS folder FROM kept WHERE contains(lp, '/')),
+above AS (SELECT DISTINCT k.domain, k.lp FROM kept k JOIN folders o ON o.domain = k.domain AND starts_with(o.folder, k.lp || '/'))
+SELECT kept.domain, kept.lp || CASE WHEN above.lp IS NULL THEN '' ELSE '/this.page' END AS file,
+  octet_length(encode(text)) AS bytes, md5(text) AS md5
+FROM kept LEFT JOIN above ON above.domain = kept.domain AND above.lp = kept.lp""",
+    "decoded_bytes": """SELECT page_id, CAST(length(t) AS INT) AS characters, md5(t) AS md5 FROM (
+SELECT page_id, substr(coalesce(html, ''), 1, page_id % 40) || chr(65533) || substr(coalesce(html, ''), page_id % 40 + 1) AS t
+FROM pages)""",
     "script_facts": CALLS
     + "SELECT crawl_rank AS page_id, base, format, root, array_to_string(keys, ',') AS response_keys FROM rooted",
     "call_sites": CALLS

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from sitespec.functions.html import is_static_asset
 from sitespec.functions.urls import clean_domain
 from sitespec.operators.crawl import crawl
 from sitespec.operators.endpoints import api_candidates, endpoints, verify, verify_warnings
@@ -16,6 +17,7 @@ from sitespec.operators.routes import routes, summary, tree_lines
 from sitespec.plans.settings import PROFILES, page_budget, stages
 from sitespec.schemas import materialize
 from sitespec.sinks.clone import clone_files, clone_manifest, clone_warnings
+from sitespec.sinks.clone_writer import write_clone
 from sitespec.sinks.documents import REPORTS, api_spec_lines, explorer_lines, report_lines
 
 
@@ -37,6 +39,8 @@ class Result:
     routes: DataFrame | None = None
     #: Tables without rows, which a report shows for what was not asked for.
     nothing: tuple[DataFrame, DataFrame] | None = None
+    #: Counts of each stage over all sites, taken while the jobs of the run wrote their tables.
+    stages: dict[str, dict[str, int]] = field(default_factory=dict)
 
     @property
     def domains(self) -> DataFrame:
@@ -67,6 +71,10 @@ class Result:
         """The files of the clone, (domain, path, local_path, text); ``pages`` are the snapshots of the run."""
         return clone_files(pages, self.manifest())
 
+    def write_clone(self, pages: DataFrame, folder: str) -> None:
+        """Write the clone below ``folder``, a file a page; see ``sitespec.sinks.write_clone``."""
+        write_clone(self.clone(pages), folder)
+
     def _need(self, name: str, action: str) -> DataFrame:
         frame = getattr(self, name)
         if frame is None:
@@ -99,7 +107,15 @@ def inspect(
     reached = crawl(facts.select("domain", "path", "status_code", "links"), budget)
     if "html" not in run:
         facts = facts.withColumn("title", F.lit(None).cast("string"))
-    crawled = materialize(facts.join(reached.pages, ["domain", "path"]), "crawled")
+    of_pages, of_endpoints = Observation(), Observation()
+    crawled = facts.join(reached.pages, ["domain", "path"]).observe(
+        of_pages,
+        F.count(F.lit(1)).alias("pages_crawled"),
+        F.count("title").alias("html_titles"),
+        F.count_if(is_static_asset(F.col("content_type"), F.col("path"))).alias("assets_saved"),
+        F.coalesce(F.sum(F.when(F.col("calls").isNotNull(), F.size("calls"))), F.lit(0)).alias("call_sites"),
+    )
+    crawled = materialize(crawled, "crawled")
 
     warnings = [
         crawled.select(
@@ -113,6 +129,11 @@ def inspect(
         if responses is not None and verify_live_apis and PROFILES[profile][1]:
             found = verify(found, responses)
         # Several frames use the endpoints; they are written once.
+        found = found.observe(
+            of_endpoints,
+            F.count(F.lit(1)).alias("endpoints"),
+            F.count_if("live_verified").alias("endpoints_verified"),
+        )
         found = materialize(found, "endpoints")
         warnings.append(verify_warnings(found))
         if "routes" in run:
@@ -138,8 +159,22 @@ def inspect(
         endpoints=found,
         routes=table,
         nothing=nothing,
+        stages=_stage_counts(run, of_pages.get, of_endpoints.get if found is not None else {}, reached.levels),
     )
 
 
+def _stage_counts(run: list[str], pages: dict, found: dict, levels: int) -> dict[str, dict[str, int]]:
+    """What each stage of the run has counted; routes are pages and endpoints together."""
+    counts = {
+        "crawler": {"pages_crawled": pages["pages_crawled"], "levels": levels},
+        "html": {"html_titles": pages["html_titles"]},
+        "assets": {"assets_saved": pages["assets_saved"]},
+        "javascript": {"call_sites": pages["call_sites"]},
+        "api": found,
+        "routes": {"routes": pages["pages_crawled"] + found.get("endpoints", 0)},
+    }
+    return {stage: dict(counts[stage]) for stage in counts if stage in run}
+
+
 def _no_endpoints(pages: DataFrame) -> DataFrame:
     return pages.select("domain", F.lit(False).alias("live_verified")).filter(F.lit(False))

@@ -55,6 +55,9 @@ def test_inspect_everything(spark, site):
     assert (d.pages_crawled, d.routes, d.endpoints, d.endpoints_verified, d.assets_saved, d.warnings) == (5, 6, 1, 1, 1, 1)
     assert counts["e"].pages_crawled == 0
     assert sorted((r.domain, r.path) for r in result.skipped.collect()) == [("d", "/gone"), ("e", "/")]
+    total = result.summary.groupBy().sum("pages_crawled", "html_titles", "assets_saved", "endpoints", "endpoints_verified", "routes")
+    assert [n for stage in ("crawler", "html", "assets", "api", "routes") for k, n in result.stages[stage].items() if k != "levels"] == list(total.first())
+    assert result.stages["crawler"]["levels"] == 3 and result.stages["javascript"] == {"call_sites": 1}
     assert result.edges.count() == 5
     assert result.api_spec().count() == 3 and result.manifest().count() == 5
     assert result.report("markdown").filter(F.col("domain") == "d").count() == 17
@@ -131,3 +134,10 @@ def test_report_of_any_actions(spark):
             result.report("xml")
     assert sorted((r.local_path, r.text) for r in result.clone(pages).collect()) == [("a/index.html", "<p>a</p>"), ("index.html", rows[0][2])]
     assert result.report("json").count() > 3
+
+
+def test_stage_counts_without_pages(spark, site):
+    assert inspect(site.limit(0)).stages == {
+        "crawler": {"pages_crawled": 0, "levels": 1}, "html": {"html_titles": 0}, "assets": {"assets_saved": 0},
+        "javascript": {"call_sites": 0}, "api": {"endpoints": 0, "endpoints_verified": 0}, "routes": {"routes": 0}}
+    assert sorted(inspect(site, actions="cloning").stages) == ["assets", "crawler", "html"]
