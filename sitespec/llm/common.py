@@ -15,7 +15,7 @@ __all__ = ["fresh_folder", "materialize", "nonce", "release_memory", "shared_fol
 
 
 #: Rows and bytes that go to a Python worker at a time; whole texts can be long, so these are fewer than Spark's default.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 250, 1 << 20
 
 
 def text_batches(spark: SparkSession) -> None:

@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sitespec.llm.common import release_memory
+
 SPACE = "▁"
 # Numbers of the published model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -190,21 +192,23 @@ def model_bytes(path: str) -> bytes:
 
 
 @lru_cache(maxsize=2)
-def _codec(data: bytes, threads: int) -> PieceCodec:
+def _codec(data: bytes, threads: int, memory: int = MEMORY) -> PieceCodec:
     """The codec of a worker process: what one task has encoded, the next ones know."""
-    return PieceCodec(data, threads)
+    return PieceCodec(data, threads, memory)
 
 
-def encode_pieces(docs: DataFrame, model_path: str, threads: int = THREADS) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, threads: int = THREADS, memory: int = MEMORY) -> DataFrame:
     """(doc_id, ids array<int>, n_pieces) of ``docs`` (doc_id, text); NULL and empty texts have no ids.
 
+    ``memory`` is the number of words whose ids a worker process remembers, twice.
+
     Each row is encoded by itself: nothing is shuffled, repeated rows and NULL ids stay. Other columns are not
     looked at.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model_bytes(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shipped.value, threads)
+        codec = _codec(shipped.value, threads, memory)
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
@@ -214,6 +218,7 @@ def encode_pieces(docs: DataFrame, model_path: str, threads: int = THREADS) -> D
                 values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), values)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(sizes)], ["doc_id", "ids", "n_pieces"])
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, n_pieces long")
 

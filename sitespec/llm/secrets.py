@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitespec.llm.common import release_memory
+
 #: Texts and bytes of a block: one segment of the index. A longer text is a block by itself.
 BLOCK_TEXTS, BLOCK_BYTES = 512, 4 << 20
 #: A set of strings that grows beyond this is turned into trigrams and started anew.
@@ -161,7 +163,10 @@ class Scanner:
         codes = np.frombuffer(b"\0".join(texts).translate(_LOWER), np.uint8).astype(np.uint32)
         if len(codes) < 3:
             return {}
-        found = self.slots[(codes[:-2] << np.uint32(16)) | (codes[1:-1] << np.uint32(8)) | codes[2:]]
+        trigrams = codes[:-2] << np.uint32(16)
+        trigrams |= codes[1:-1] << np.uint32(8)
+        trigrams |= codes[2:]
+        found = self.slots[trigrams]
         places = np.flatnonzero(found)
         pairs = found[places].astype(np.int64) * len(texts) + np.searchsorted(ends, places, side="right")
         pairs.sort()
@@ -253,6 +258,7 @@ def redacted(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
                     parts += [value[at:start], "<secret>"]
                 at = max(at, end)
             out.append("".join([*parts, value[at:]]) if parts else None)
+        release_memory()
         return pa.array(out, pa.string())
 
     return F.arrow_udf(cut, "string")(text)
