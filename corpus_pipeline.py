@@ -21,6 +21,9 @@ LEAST_SCORE = 0.4
 #: text makes 8 % at most, and text that is poor as well 0.5 %, whatever that repeats of the rest.
 WEIGHTS = {"q1t0": 0.8, "q0t0": 0.12, "q1t1": 0.075, "q0t1": 0.005}
 
+#: Words that a worker process of the last stage remembers; the stages before it leave it little memory.
+WORDS = 50_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; ``lang`` is the predicted one.
@@ -57,7 +60,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, n_pieces) of every row."""
     text_batches(spark)
-    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), memory=WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
