@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,11 +11,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitespec.schemas import materialize
+
 ALLOW, BLOCK = "allow", "block"
 #: Least share of the labelled URLs that hold a combination with its verdict, and least confidence of a mined rule.
 SUPPORT, CONFIDENCE = 0.01, 0.8
-#: Tokens of a labelled URL that take part in mining, the most frequent ones: a URL adds at most 2 ** TOKENS
-#: combinations, so there are at most 2 ** TOKENS / SUPPORT frequent ones. Judging looks at all tokens of a URL.
+#: Most frequent tokens of a labelled URL for which FP-growth looks at all combinations, 2 ** TOKENS of a URL. Where a
+#: URL holds more, all its tokens take part too, but level by level over the combinations that can make a rule.
 TOKENS = 10
 #: Marks the verdict within the items of a labelled URL; no URL token starts so.
 _MARK = "="
@@ -101,9 +104,10 @@ def url_tokens(url: Column) -> Column:
 def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[TokenRule]:
     """Rules token combination to verdict from ``labelled`` (tokens array<string>, verdict), all rows of it.
 
-    FP-growth runs on the cluster over all labelled URLs; their number of rules is bounded by ``TOKENS`` and the
-    support, so the pruned rules may come to the driver. A rule goes where its confidence or support is too low,
-    where it is no likelier than the verdict is anyway, or where a rule with one token less says the same as surely.
+    FP-growth runs on the cluster over all labelled URLs, with all their frequent tokens; ``_long_rules`` does where
+    one holds more than ``TOKENS`` of these. The pruned rules come to the driver. A rule goes where its confidence or
+    support is too low, where it is no likelier than the verdict is anyway, or where a rule with one token less says
+    the same as surely.
     """
     total = labelled.count()
     if not total:
@@ -111,15 +115,17 @@ def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     counts = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     common = counts.filter(F.col("n") >= support * total).orderBy(F.desc("n"), "token").collect()  # tokens of a URL / support
     order = F.array(*(F.lit(r.token) for r in common)) if common else F.array().cast("array<string>")
-    items = F.concat(
-        F.slice(F.array_intersect(order, F.col("tokens")), 1, TOKENS), F.array(F.concat(F.lit(_MARK), "verdict"))
-    )
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(labelled.select(items.alias("items")))
-    sure = model.associationRules.filter(F.col("consequent")[0].startswith(_MARK) & (F.col("lift") > 1))
-    rules = {
-        (frozenset(r.antecedent), r.consequent[0][len(_MARK) :]): (r.confidence, r.support)
-        for r in sure.select("antecedent", "consequent", "confidence", "support").collect()
-    }
+    frequent = F.array_intersect(order, F.col("tokens"))
+    if labelled.agg(F.max(F.size(frequent))).first()[0] > TOKENS:
+        rules = _long_rules(labelled.select(frequent.alias("items"), "verdict"), total, support, confidence)
+    else:
+        items = F.concat(frequent, F.array(F.concat(F.lit(_MARK), "verdict")))
+        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(labelled.select(items.alias("items")))
+        sure = model.associationRules.filter(F.col("consequent")[0].startswith(_MARK) & (F.col("lift") > 1))
+        rules = {
+            (frozenset(r.antecedent), r.consequent[0][len(_MARK) :]): (r.confidence, r.support)
+            for r in sure.select("antecedent", "consequent", "confidence", "support").collect()
+        }
     out = []
     for (tokens, verdict), (sureness, share) in rules.items():
         shorter = (rules.get((tokens - {t}, verdict)) for t in tokens)
@@ -128,6 +134,46 @@ def mine_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     return sorted(out, key=lambda r: r.rank)
 
 
+def _long_rules(labelled: DataFrame, total: int, support: float, confidence: float) -> dict[tuple, tuple[float, float]]:
+    """(tokens, verdict) to (confidence, support) as from FP-growth, without those that ``mine_rules`` prunes anyway.
+
+    ``labelled`` has the frequent ``items`` of each URL, in one order, and its verdict. Combinations grow by a token a
+    level, counted over the distinct rows that hold them. One is left, with all that hold it, where no verdict is
+    frequent with it, where one is certain, or where a token less is held by as many URLs: what follows has the
+    verdict of a shorter rule as surely. So tokens that come together, however many, don't multiply.
+    """
+    least = math.ceil(support * total)
+    whole = {r.verdict: r.n for r in labelled.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = materialize(labelled.groupBy("items", "verdict").agg(F.count(F.lit(1)).alias("n")), "labelled")
+    held = rows.select("*", F.explode("items").alias("t")).withColumn("set", F.array("t")).drop("t")
+    alive, rules, size = None, {}, 1
+    while True:
+        by_verdict = held.groupBy("set", "verdict").agg(F.sum("n").alias("hits"))
+        hits = F.collect_list(F.struct("verdict", "hits"))
+        counts = by_verdict.groupBy("set").agg(F.sum("hits").alias("n"), F.max("hits").alias("most"), hits.alias("by"))
+        if alive is None:
+            counts = counts.filter(F.col("n") < total)
+        else:  # all combinations with a token less are alive and held by more URLs
+            less = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.concat(
+                F.slice("set", F.lit(1), i - 1), F.slice("set", i + 1, F.lit(size))))
+            shorter = counts.select("set", F.explode(less).alias("less")).join(
+                alive.select(F.col("set").alias("less"), F.col("n").alias("around")), "less")
+            fewest = shorter.groupBy("set").agg(F.count(F.lit(1)).alias("subsets"), F.min("around").alias("around"))
+            counts = counts.join(fewest, "set").filter((F.col("subsets") == size) & (F.col("n") < F.col("around")))
+        counts = materialize(counts.filter(F.col("most") >= least).select("set", "n", "most", "by"), "combinations")
+        sure = counts.select("set", "n", F.explode("by").alias("v")).select("set", "n", "v.*")
+        for r in sure.filter((F.col("hits") >= least) & (F.col("hits") >= confidence * F.col("n"))).toLocalIterator():
+            if r.hits * total > r.n * whole[r.verdict]:  # likelier than anyway
+                rules[frozenset(r.set), r.verdict] = r.hits / r.n, r.hits / total
+        alive = counts.filter(F.col("most") < F.col("n"))
+        if alive.isEmpty():
+            return rules
+        later = F.slice("items", F.array_position("items", F.element_at("set", -1)).cast("int") + 1, F.size("items"))
+        grown = held.join(alive.select("set"), "set").select("items", "verdict", "n", "set", F.explode(later).alias("t"))
+        held = materialize(grown.select("items", "verdict", "n", F.array_append("set", F.col("t")).alias("set")), "held")
+        size += 1
+
+
 class RuleIndex:
     """Rules by their rarest token: a URL is asked only for rules whose rarest token it holds."""
 

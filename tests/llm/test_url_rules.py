@@ -98,3 +98,22 @@ def test_whole_table(spark, sf_dir):
     assert len(rows) == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
     assert all(r.verdict in ("allow", "block") for r in rows)
     assert all(r.mined_rule is None for r in rows if r.rule)
+
+
+def test_urls_of_many_tokens_are_mined_whole(spark):
+    rng = random.Random(5)
+    rows = [[t for t in "abcdefghijklm" if rng.random() < 0.8] for _ in range(120)]
+    rows = [(t, "block" if {"l", "m"} <= set(t) or rng.random() < 0.05 else "allow") for t in rows]
+    got = mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.3, 0.7)
+    want = brute_rules(rows, 0.3, 0.7)
+    assert {(r.tokens, r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in got} == {
+        k: (round(c, 9), round(s, 9)) for k, (c, s) in want.items()
+    }
+    assert any({"l", "m"} <= r.tokens for r in got)
+
+
+def test_tokens_that_come_together_do_not_multiply(spark):
+    long = [f"k{i}" for i in range(40)]
+    rows = [([*long[: i % 41], "bad"], "block") for i in range(82)] + [(long[: i % 41], "allow") for i in range(82)]
+    got = mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.01, 0.8)
+    assert [(r.tokens, r.verdict, r.confidence) for r in got] == [({"bad"}, "block", 1.0)]
