@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitespec.functions import arguments as args
 from sitespec.functions import javascript as js
-from sitespec.functions.lexing import bracket_events, masked_js
+from sitespec.functions.lexing import bracket_events, event_calls, masked_js
 from sitespec.functions.strings import built_once, find_all, let
 from sitespec.operators.pages import javascript_pages, unfold
 from sitespec.schemas import materialize
@@ -70,31 +70,19 @@ def code_calls(pages: DataFrame) -> DataFrame:
     Columns: domain, file_path, kind (``call`` or ``function``), name, line_no, start, end, root, awaited, the
     function around a call (or the function itself) with depth and parameters, and the arguments of a call.
     """
-    scripts = masked_scripts(pages).select("*", _events("masked").alias("events"))
-    one = unfold(scripts.select(*KEYS, "text", "masked", F.explode_outer("events").alias("e")))
+    # The texts end here: a row for each call holds its own arguments only.
+    scripts = masked_scripts(pages).select(*KEYS, _calls("text", "masked").alias("events"))
+    one = unfold(scripts.select(*KEYS, F.explode_outer("events").alias("e")))
     return one.select(
         *KEYS, "e.kind", "e.name", F.col("e.line").alias("line_no"), "e.start", "e.end", "e.root", "e.awaited",
         F.col("e.fn.name").alias("function"), F.coalesce("e.fn.depth", F.lit(0)).alias("depth"),
-        F.col("e.fn.p_open").alias("function_start"),
-        _parameters("masked", "e").alias("parameters"), _arguments("text", "masked", "e").alias("arguments"),
+        F.col("e.fn.p_open").alias("function_start"), "e.parameters", "e.arguments",
     )
 
 
 @built_once
-def _parameters(masked: str, event: str) -> Column:
-    fn = F.col(event)["fn"]
-    listed = args.between(F.col(masked), fn["p_open"], fn["p_close"])
-    return F.transform(F.split(listed, ","), lambda p: F.regexp_extract(p, r"([\w$]++)", 1))
-
-
-@built_once
-def _arguments(text: str, masked: str, event: str) -> Column:
-    e = F.col(event)
-    both = F.struct(
-        args.between(F.col(text), e["start"], e["end"]).alias("raw"),
-        args.between(F.col(masked), e["start"], e["end"]).alias("masked"),
-    )
-    return F.when(e["kind"] == "call", let(both, lambda b: args.parts(b["raw"], b["masked"])))
+def _calls(text: str, masked: str) -> Column:
+    return event_calls(F.col(text), F.col(masked))
 
 
 def call_functions(calls: DataFrame) -> DataFrame:

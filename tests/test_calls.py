@@ -190,3 +190,17 @@ def test_long_scripts_stay_linear(evaluate, n):
 
     seconds(1)
     assert seconds(4 * n) < 8 * seconds(n) + 5
+
+
+def test_scripts_are_gone_over_once_and_left_behind(spark):
+    text = "function f(a, b) {\n  g(`,${1}`, [1, 2], h(a));\n}"
+    calls = ops.code_calls(pages(spark, ("d.example", text)))
+    plan = calls._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan  # a fold copies its state at every token
+    exploded = plan[: plan.index("Generate")]
+    assert "masked_js" not in exploded and "text#" not in exploded  # no call carries its script
+    got = {r.name: (r.parameters, r.arguments and [tuple(a) for a in r.arguments]) for r in calls.collect()}
+    assert got == {
+        "f": (["a", "b"], None), "h": (["a", "b"], [("a", "a")]),
+        "g": (["a", "b"], [("`,${1}`", "`   1 `"), (" [1, 2]", " [1, 2]"), (" h(a)", " h(a)")]),
+    }
