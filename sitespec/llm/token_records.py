@@ -19,13 +19,15 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as arrow_fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,11 +42,16 @@ SHARD_BYTES = 64 << 20
 MEMORY = 300_000
 #: Longer words aren't remembered, so the memory is bounded in bytes too.
 LONGEST = 64
+#: Bytes of batches that are looked up together, for a word is asked for once in them; and texts of them at most.
+GATHERED, TEXTS = 4 << 20, 1024
 #: New words that are encoded as one text.
 JOINED = 400
 _MASK = 0xA282EAD8
 #: What stands in the place of a missing doc_id, and the bit beside the width that says so.
 NO_ID, _NO_ID_FLAG = -(2**63), 128
+#: Letters by every version of Unicode, and a run of them at the begin of a word before an ASCII character that is none.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_LATIN, _LETTERS_FIRST = re.compile(f"[{_LETTERS}]").match, re.compile(rf"[{_LETTERS}]+(?=[\x00-@\[-`{{-\x7f])").match
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<i8"), ("n_tokens", "<i8")])
 
 
@@ -87,7 +94,8 @@ class WordEncoder:
     """Encodes whole texts with the tokenizers library, asking it once for each run of characters up to a space.
 
     The byte-level split puts a boundary before every space that is followed by a character other than white
-    space, so a text cut there gives the same ids; what was encoded before is remembered. New words go to the library
+    space, so a text cut there gives the same ids; what was encoded before is remembered. It puts one behind letters too,
+    so of a new word the letters it begins with and the rest are looked up by themselves. What is new goes to the library
     joined, and the ids are cut where the bytes of the tokens add up to the end of a word. Texts of tokenizers
     with a normalizer or another split are encoded whole.
     """
@@ -102,14 +110,17 @@ class WordEncoder:
         largest = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if largest <= 1 << 16 else "<u4")
         split = self.tokenizer.pre_tokenizer
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
+        added = [t.content for t in tokens]
         self.by_word = (
-            type(split).__name__ == "ByteLevel" and not split.add_prefix_space and self.tokenizer.normalizer is None
+            type(split).__name__ == "ByteLevel" and split.use_regex and not split.add_prefix_space and self.tokenizer.normalizer is None
             and not any(c.isspace() for text in added for c in text)
+            and not any(t.single_word or t.lstrip or t.rstrip for t in tokens)
         )
         self.memory, self.known, self.old = memory, {}, {}
+        self.cut = _LETTERS_FIRST if not any(_LATIN(c) for c in added) else lambda word: None
         # Bytes of a token: the byte-level alphabet has one character a byte, added tokens are plain text.
-        plain = {t.content: len(t.content.encode()) for t in self.tokenizer.get_added_tokens_decoder().values()}
+        plain = {c: len(c.encode()) for c in added}
         self.sizes = np.zeros(largest, np.int64)
         for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.sizes[number] = plain.get(token, len(token))
@@ -148,33 +159,106 @@ class WordEncoder:
                 out[-1] += " " + p
         return out
 
+    def _ids(self, keys: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of distinct keys; those that aren't remembered go to ``encode``."""
+        known, found = self.known, list(map(self.known.get, keys))
+        fresh = []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            if (ids := self.old.get(keys[i])) is None:
+                fresh.append(i)
+            else:
+                found[i] = known[keys[i]] = ids
+        for i, ids in zip(fresh, encode([keys[i] for i in fresh]), strict=True):
+            found[i] = ids
+            if len(keys[i]) <= LONGEST:
+                known[keys[i]] = ids
+        return found
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words that a space precedes."""
+        return self._ids(words, self._encode_new)
+
+    def _encode_new(self, words: list[str]) -> list[bytes]:
+        """Ids of words that a space precedes: of the letters they begin with, and of the rest, each asked for once."""
+        ends = [None if w.isalpha() else self.cut(w) for w in words]
+        firsts = [w[: m.end()] if m else w for w, m in zip(words, ends, strict=True)]
+        rests = [" " + w[m.end() :] for w, m in zip(words, ends, strict=True) if m]
+        keys, others = list(dict.fromkeys(firsts)), list(dict.fromkeys(rests))
+        found = dict(zip(keys, self._ids(keys, lambda new: self._encode_words([" " + w for w in new])), strict=True))
+        behind = dict(zip(others, self._ids(others, self._encode_rests), strict=True))
+        left = map(behind.__getitem__, rests)
+        return [found[first] + next(left) if m else found[first] for first, m in zip(firsts, ends, strict=True)]
+
+    def _encode_rests(self, keys: list[str]) -> list[bytes]:
+        """Ids of what follows letters (keys have a space before it); a line end, a token by itself, parts them."""
+        rests = [k[1:] for k in keys]
+        plain = [r for r in rests if not r[0].isspace() and not r[-1].isspace()]
+        found = dict(zip(plain, self._encode_words([r + "\n" for r in plain]), strict=True))
+        alone = [r for r in rests if r not in found]
+        found = {r: ids[: -self.dtype.itemsize] for r, ids in found.items()} | dict(zip(alone, self._encode(alone), strict=True))
+        return [found[r] for r in rests]
+
+    def _heads(self, heads: list[str]) -> list[bytes]:
+        """Ids of what texts begin with. Its keys begin with a space, which no word does."""
+        keys = list(dict.fromkeys(" " + h for h in heads))
+        found = dict(zip(keys, self._ids(keys, lambda new: self._encode([k[1:] for k in new])), strict=True))
+        return [found[" " + h] for h in heads]
+
+    def _spaced(self, text: str) -> bytes:
+        """Ids of a text with a space before white space or at its end."""
+        head, *units = self.units(text)
+        words = list(dict.fromkeys(u[1:] for u in units))
+        found = dict(zip(words, self._words(words), strict=True))
+        return b"".join([*self._heads([head]), *(found[u[1:]] for u in units)])
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.frombuffer(x, self.dtype) for x in self._encode(texts)]
         if len(self.known) > self.memory:
             self.known, self.old = {}, self.known
-        known, old = self.known, self.old
-        cut = [text.split(" ") for text in texts]
-        # First words have no space before them; a line end never begins a word that has one, so it keys them apart.
-        heads = ["\n" + parts[0] for parts in cut]
-        new = set(heads).union(*(parts[1:] for parts in cut)).difference(known)
-        first = new.intersection(heads)
-        # A piece that is empty or begins with white space is never remembered, so its texts are seen here each time.
-        odd = {p for p in new if not p or p[0].isspace()} - first
-        again = new.intersection(old)
-        known.update((p, old[p]) for p in again)
-        fresh, begun = list(new - odd - first - again), list(first - again)
-        known.update(zip(fresh, self._encode_words([" " + p for p in fresh]), strict=True))
-        known.update(zip(begun, self._encode([p[1:] for p in begun]), strict=True))
-        out = []
-        for text, parts, head in zip(texts, cut, heads, strict=True):
-            parts[0] = head
-            whole = bool(odd) and not odd.isdisjoint(parts)
-            out.append(b"".join(self._encode(self.units(text)) if whole else map(known.__getitem__, parts)))
-        for p in new:
-            if len(p) > LONGEST:
-                known.pop(p, None)
-        return [np.frombuffer(ids, self.dtype) for ids in out]
+        # Arrow cuts the texts behind their first words and numbers the different words of all of them.
+        cut = [text.partition(" ") for text in texts]
+        lists = pc.split_pattern(pa.array([rest if space else None for _, space, rest in cut], pa.large_string()), " ")
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        # A piece that is empty or begins with white space is no word; its texts are looked up by their units.
+        spaced = [i for i, w in enumerate(words) if not w or w[0].isspace()]
+        for i in reversed(spaced):
+            del words[i]
+        parts = self._words(words)
+        for i in spaced:
+            parts.insert(i, b"")
+        # The ids of the words stand in one array; each place in a text takes those of its word.
+        ids = np.frombuffer(b"".join(parts), self.dtype)
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype.itemsize
+        starts, lengths = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = ids[np.arange(total) + np.repeat(starts - ends + lengths, lengths)]
+        last = np.cumsum(counts)
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], last])].tolist()
+        units = np.unique(np.searchsorted(last, np.flatnonzero(np.isin(codes, spaced)), "right")).tolist() if spaced else []
+        out = [
+            np.concatenate([np.frombuffer(head, self.dtype), ids[low:high]])
+            for head, low, high in zip(self._heads([head for head, _, _ in cut]), bounds, bounds[1:], strict=False)
+        ]
+        for k in units:
+            out[k] = np.frombuffer(self._spaced(texts[k]), self.dtype)
+        return out
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches in tables of ``GATHERED`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHERED:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 @lru_cache(maxsize=2)
@@ -213,10 +297,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, shard_bytes
             first = None if entries[0][2] < 0 else entries[0][0]
             done.append((part, f"{folder}/{name}", len(entries), sum(abs(e[2]) for e in entries), first))
 
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for low in range(0, len(keys), 256):
-                for doc_id, ids in zip(keys[low : low + 256], encode(texts.slice(low, 256).to_pylist()), strict=True):
+        for table in gathered(batches):
+            keys, texts = table.column(0).to_pylist(), table.column(1)
+            for low in range(0, len(keys), TEXTS):
+                for doc_id, ids in zip(keys[low : low + TEXTS], encode(texts.slice(low, TEXTS).to_pylist()), strict=True):
                     if out is not None and at >= shard_bytes:
                         close()
                         out, entries, at, shard = None, [], 0, shard + 1

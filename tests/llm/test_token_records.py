@@ -88,3 +88,20 @@ def test_rows_without_id_come_first(spark, whole, tmp_path):
     whole_shard = write_records(docs.coalesce(1), f"file://{tmp_path}/one", PATH)
     found = [ids for r in whole_shard.collect() for ids in fetch(r["shard"], [-(2**63)]).values()]
     assert [x.tolist()[:-1] for x in found] == [whole.encode("the smallest id", add_special_tokens=False).ids]
+
+
+def test_a_line_end_behind_a_space_is_kept(whole):
+    texts = ["b", "a \nb", "a \n b ", "\nb b", "b's b.\n\nb, b\n.\nb", "<|endoftext|>b b<|endoftext|>b b<|endoftext|>", "éa9 ß'll x\n"]
+    encode = WordEncoder(PATH)
+    for _ in range(2):
+        assert [x.tolist() for x in encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode([]) == []
+
+
+def test_letters_of_a_word_are_asked_for_once(whole):
+    encode, asked = WordEncoder(PATH), []
+    ask = encode._encode_words
+    encode._encode_words = lambda words: asked.extend(words) or ask(words)
+    texts = ["x thbleon thbleon, thbleon. thbleon.\nAnd", "x thbleon! thbleon, other"]
+    assert [x.tolist() for t in texts for x in encode([t])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [w for w in asked if "thbleon" in w] == [" thbleon"]
