@@ -42,8 +42,8 @@ SHARD_BYTES = 64 << 20
 MEMORY = 300_000
 #: Longer words aren't remembered, so the memory is bounded in bytes too.
 LONGEST = 64
-#: Bytes of batches that are looked up together, for a word is asked for once in them; and texts of them at most.
-GATHERED, TEXTS = 4 << 20, 1024
+#: Bytes of batches that are looked up together, for a word is asked for once in them; larger batches are cut.
+GATHERED = 4 << 20
 #: New words that are encoded as one text.
 JOINED = 400
 _MASK = 0xA282EAD8
@@ -249,7 +249,7 @@ class WordEncoder:
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Batches in tables of ``GATHERED`` bytes."""
+    """Batches in tables of ``GATHERED`` bytes or more."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
@@ -299,8 +299,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, shard_bytes
 
         for table in gathered(batches):
             keys, texts = table.column(0).to_pylist(), table.column(1)
-            for low in range(0, len(keys), TEXTS):
-                for doc_id, ids in zip(keys[low : low + TEXTS], encode(texts.slice(low, TEXTS).to_pylist()), strict=True):
+            step = max(1, 2 * GATHERED * len(keys) // max(1, table.nbytes))
+            for low in range(0, len(keys), step):
+                for doc_id, ids in zip(keys[low : low + step], encode(texts.slice(low, step).to_pylist()), strict=True):
                     if out is not None and at >= shard_bytes:
                         close()
                         out, entries, at, shard = None, [], 0, shard + 1
