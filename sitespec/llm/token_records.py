@@ -43,7 +43,7 @@ MEMORY = 300_000
 #: Longer words aren't remembered, so the memory is bounded in bytes too.
 LONGEST = 64
 #: Bytes of batches that are looked up together, for a word is asked for once in them; larger batches are cut.
-GATHERED = 4 << 20
+GATHERED = 6 << 20
 #: New words that are encoded as one text.
 JOINED = 400
 _MASK = 0xA282EAD8
@@ -162,16 +162,14 @@ class WordEncoder:
     def _ids(self, keys: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
         """Ids of distinct keys; those that aren't remembered go to ``encode``."""
         known, found = self.known, list(map(self.known.get, keys))
-        fresh = []
-        for i in [i for i, ids in enumerate(found) if ids is None]:
-            if (ids := self.old.get(keys[i])) is None:
-                fresh.append(i)
-            else:
-                found[i] = known[keys[i]] = ids
-        for i, ids in zip(fresh, encode([keys[i] for i in fresh]), strict=True):
-            found[i] = ids
-            if len(keys[i]) <= LONGEST:
-                known[keys[i]] = ids
+        places = [i for i, ids in enumerate(found) if ids is None]
+        missing = [keys[i] for i in places]
+        aged = list(map(self.old.get, missing))
+        fresh = iter(encode([k for k, ids in zip(missing, aged, strict=True) if ids is None]))
+        for i, k, ids in zip(places, missing, aged, strict=True):
+            found[i] = ids = next(fresh) if ids is None else ids
+            if len(k) <= LONGEST:
+                known[k] = ids
         return found
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -181,13 +179,15 @@ class WordEncoder:
     def _encode_new(self, words: list[str]) -> list[bytes]:
         """Ids of words that a space precedes: of the letters they begin with, and of the rest, each asked for once."""
         ends = [None if w.isalpha() else self.cut(w) for w in words]
-        firsts = [w[: m.end()] if m else w for w, m in zip(words, ends, strict=True)]
+        whole = [w for w, m in zip(words, ends, strict=True) if not m]
+        firsts = [w[: m.end()] for w, m in zip(words, ends, strict=True) if m]
         rests = [" " + w[m.end() :] for w, m in zip(words, ends, strict=True) if m]
-        keys, others = list(dict.fromkeys(firsts)), list(dict.fromkeys(rests))
-        found = dict(zip(keys, self._ids(keys, lambda new: self._encode_words([" " + w for w in new])), strict=True))
+        found = dict(zip(whole, self._encode_words([" " + w for w in whole]), strict=True))
+        keys, others = [w for w in dict.fromkeys(firsts) if w not in found], list(dict.fromkeys(rests))
+        found.update(zip(keys, self._ids(keys, lambda new: self._encode_words([" " + w for w in new])), strict=True))
         behind = dict(zip(others, self._ids(others, self._encode_rests), strict=True))
-        left = map(behind.__getitem__, rests)
-        return [found[first] + next(left) if m else found[first] for first, m in zip(firsts, ends, strict=True)]
+        joined = map(bytes.__add__, map(found.__getitem__, firsts), map(behind.__getitem__, rests))
+        return [next(joined) if m else found[w] for w, m in zip(words, ends, strict=True)]
 
     def _encode_rests(self, keys: list[str]) -> list[bytes]:
         """Ids of what follows letters (keys have a space before it); a line end, a token by itself, parts them."""
